@@ -15,6 +15,8 @@ _WHERE = {
     "op6_sentencepiece": "lattice",
     "op7_toxicity": "toxicity",
     "op8_exact_topk": "exact_topk",
+    "op9_warc": "warc",
+    "op10_token_files": "token_files",
 }
 
 
@@ -25,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .chat import OP1_SQL
     from .exact_topk import OP8_SQL
+    from .warc import OP9_SQL
 
-    return {"op1_chat_formatting": OP1_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op8_exact_topk": OP8_SQL, "op9_warc": OP9_SQL}
