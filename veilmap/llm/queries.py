@@ -11,6 +11,7 @@ _WHERE = {
     "op1_chat_formatting": "chat",
     "op2_mixing": "mixing",
     "op3_ann": "ann",
+    "op4_minhash_dedup": "minhash",
     "op5_token_counts": "token_counts",
     "op6_sentencepiece": "lattice",
     "op7_toxicity": "toxicity",
