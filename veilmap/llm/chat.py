@@ -55,22 +55,23 @@ def branch_turns(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """
     known = nodes.select("tree", F.col("node").alias("parent"))
     base = nodes.select("tree", "node", "parent", "score").join(known.withColumn("there", F.lit(True)), ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
-    tables = [common.materialise(base, "chat-up")]
-    limit = max(1, tables[0].count()).bit_length() + 1
-    while len(tables) < limit:
-        at = tables[-1]
-        if at.where("up is not null").isEmpty():
-            break
-        far = at.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        tables.append(common.materialise(at.join(far, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "chat-up"))
-    done = tables[-1].where("up is null")  # what still points up is on a cycle or below one
+    state = common.materialise(base, "chat-up")
+    tables = [state.where("up is not null").select("tree", "node", "up")]
+    limit = max(1, state.count()).bit_length() + 1
+    while len(tables) < limit and not tables[-1].isEmpty():
+        # only nodes that still point somewhere are joined; the others have their sums
+        far = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        moved = state.where("up is not null").join(far, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        state = common.materialise(state.where("up is null").unionByName(moved), "chat-up")
+        tables.append(state.where("up is not null").select("tree", "node", "up"))
+    done = state.where("up is null")  # what still points up is on a cycle or below one
     leaves = done.join(base.where("up is not null").select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").withColumn("branch_score", F.col("total") / F.col("depth"))
     if top is not None:
         leaves = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "node"))).where(F.col("branch") <= top)
     else:
         leaves = leaves.withColumn("branch", F.lit(1))
     spans = leaves.select("tree", F.col("node").alias("leaf"), "branch", "branch_score", "depth", "node", F.lit(0).cast("long").alias("back"))
-    for k in range(len(tables) - 2, -1, -1):
+    for k in range(len(tables) - 1, -1, -1):
         step = 1 << k
         jump = tables[k].select("tree", "node", F.col("up").alias("next"))
         pair = F.array(F.struct("node", "back"), F.struct(F.col("next").alias("node"), (F.col("back") + step).alias("back")))
