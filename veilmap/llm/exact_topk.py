@@ -52,14 +52,15 @@ def block_topk(qid, q, xid, x, bounds: dict[int, int] | None, k: int):
     q_len = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     order = np.argsort(-x_len, kind="stable")
     x, xid, x_len = x[order], xid[order], x_len[order]
-    theta = np.array([bounds.get(int(i), -(1 << 62)) if bounds else -(1 << 62) for i in qid], np.float64)
+    least = np.array([bounds.get(int(i), -(1 << 63)) if bounds else -(1 << 63) for i in qid], np.int64)
+    theta = least.astype(np.float64)
     longest = x_len[0] if len(x_len) else 0.0
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(q_len * longest > 0, theta / (q_len * longest), np.where(theta > 0, np.inf, -np.inf))
     out: list[tuple] = []
 
     def keep(i: int, at: np.ndarray, s: np.ndarray) -> None:
-        ok = (s >= theta[i]) & (xid[at] != qid[i])
+        ok = (s >= least[i]) & (xid[at] != qid[i])
         at, s = at[ok], s[ok]
         first = np.lexsort((xid[at], -s))[:k]
         out.append((np.full(len(first), qid[i]), xid[at[first]], s[first]))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,27 +34,28 @@ def packed(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("vec_id", "v")).alias(out))
 
 
-def matrix(items: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of row i of a packed column."""
+def matrices(items: pa.Array, i: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of row i of a packed column, by number of components."""
     s = items[i].values
-    ids = s.field("vec_id").to_numpy(zero_copy_only=False)
-    flat = s.field("v")
-    width = len(flat[0]) if len(flat) else 0
-    return ids, flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
+    ids, v = s.field("vec_id").to_numpy(zero_copy_only=False), s.field("v")
+    size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    where = np.repeat(size, size)
+    return {int(n): (ids[size == n], flat[where == n].reshape(-1, n) if n else np.zeros((int((size == 0).sum()), 0), flat.dtype)) for n in np.unique(size)}
 
 
 def search(pairs: DataFrame, find: Callable, kind: str) -> DataFrame:
-    """(query_id, vec_id, score) that find gives for each row (queries, items) of pairs."""
+    """(query_id, vec_id, score) that find gives for each row (queries, items) of pairs; only vectors of one length meet."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                q, x = matrix(b.column("queries"), i), matrix(b.column("items"), i)
-                if q[1].shape[1] != x[1].shape[1]:
-                    continue
-                got = find(*q, *x, *(b.column(c)[i].as_py() for c in b.schema.names if c not in ("queries", "items")))
-                if len(got[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64() if kind == "double" else pa.int64())], ["query_id", "vec_id", "score"])
+                asked, there = matrices(b.column("queries"), i), matrices(b.column("items"), i)
+                more = [b.column(c)[i].as_py() for c in b.schema.names if c not in ("queries", "items")]
+                for n in asked.keys() & there.keys():
+                    got = find(*asked[n], *there[n], *more)
+                    if len(got[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64() if kind == "double" else pa.int64())], ["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(run, FOUND.format(kind))
 
