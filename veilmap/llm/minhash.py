@@ -8,9 +8,12 @@ keeps copies in groups of any size alike: a shingle of a third of all documents
 
 Each document gives BANDS * ROWS consistent samples; parameters (r, c, beta) of a shingle come from a table of 65,536 independent draws
 per sample, and beta is rotated by the shingle's own hash. Equal weighted sets are one element from here on. Elements that
-share a band are candidates. Every bucket first compares its members with its smallest one; then, exactly, members that
-are still in different components with each other, where their total weights allow the similarity. Links are what
-weighted Jaccard verifies, on the whole texts; classes are the components.
+share a band are candidates. Every bucket first compares its members with a hub, the member with the most company in all its
+buckets. Buckets whose members are then still in different components are closed exactly: their members meet by connected
+candidates in pairs of blocks of bounded size, each block pair's similarities are one sparse product over the shingles
+that it shares, and only links that join components leave the task. Members of a group's main component are not compared
+with each other again, so the work follows those that the hub did not reach. Links are what weighted Jaccard verifies, on
+the whole texts; classes are the components.
 
 Defined results: texts without words (null or empty) are in no class but their own; class_id is the smallest doc_id of the
 class (null if none has one); rows that repeat are one class; an empty table gives an empty result.
@@ -202,32 +205,116 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
     return common.materialise(whole.mapInArrow(run, "a bigint, b bigint, similarity double"), "dedup-links")
 
 
+def block_links(docs: list[tuple[int, int, int, str]], idf: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """Links that join components among two blocks: docs are (fp, component, block, text); block -1 is main.
+
+    Similarities come from one product over the shingles that several documents hold; a shingle held c times is c columns.
+    """
+    sets = list(sets_of([d[3] for d in docs]))
+    size = np.array([len(x) for x, _ in sets])
+    doc = np.repeat(np.arange(len(sets)), size)
+    x = np.concatenate([x for x, _ in sets])
+    tf = np.concatenate([t for _, t in sets])
+    weight = np.bincount(doc, weights=tf * idf[(x & np.uint64(CELLS - 1)).astype(np.int64)], minlength=len(sets))
+    copy = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    x, doc = np.repeat(x, tf), np.repeat(doc, tf)
+    col = common.mix(x + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(col, kind="stable")
+    col, doc, x = col[order], doc[order], x[order]
+    first = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+    held = np.diff(np.concatenate([first, [len(col)]]))
+    number = np.repeat(np.cumsum(held > 1) - 1, held)
+    shared = np.repeat(held > 1, held)
+    number, doc, w = number[shared], doc[shared], np.sqrt(idf[(x[shared] & np.uint64(CELLS - 1)).astype(np.int64)])
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(256, (1 << 22) // len(sets))
+    cuts = np.searchsorted(number, np.arange(0, (int(number[-1]) if len(number) else -1) + 1 + step, step))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        m = np.zeros((len(sets), step), np.float32)
+        m[doc[a:b], number[a:b] - k * step] = w[a:b]
+        both += m @ m.T
+    sim = both / (weight[:, None] + weight[None, :] - both)
+    i, j = np.nonzero(np.triu(sim >= similar - 1e-4, 1))
+    root = {d[1]: d[1] for d in docs}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(docs[p][1]), find(docs[q][1])
+        # the product is in single precision: what is near the border is worked out exactly
+        if a != b and (sim[p, q] >= similar + 1e-4 or similarity(idf, sets[p], sets[q]) >= similar):
+            root[max(a, b)] = min(a, b)
+            out.append((docs[p][0], docs[q][0]))
+    return out
+
+
+BLOCK_DOCS, BLOCK_CHARS = 512, 4_000_000
+
+
+def closed(members: DataFrame, comp: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between components of members that share a bucket, none left out.
+
+    Candidates are grouped by what buckets connect. A group's largest component is its main part; the others are compared with each
+    other and with it, in pairs of blocks of about BLOCK_DOCS documents or BLOCK_CHARS characters.
+    """
+    spark = members.sparkSession
+    at = common.materialise(members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "hub", F.coalesce("comp", "fp").alias("comp")), "dedup-at")
+    mixed = common.materialise(at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "dedup-mixed")
+    open_ = common.materialise(at.join(mixed, "key", "left_semi"), "dedup-open")
+    groups = components(open_.select(F.col("hub").alias("a"), F.col("fp").alias("b")).where("a <> b"))
+    rows = open_.select("fp", "comp").distinct().join(groups.select(F.col("node").alias("fp"), F.col("comp").alias("grp")), "fp")
+    rows = common.materialise(rows.join(texts, "fp").select("grp", "comp", "fp", "text"), "dedup-rows")
+    parts = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.sum("n") / BLOCK_DOCS, F.sum("chars") / BLOCK_CHARS))).cast("int")
+    mains = common.materialise(parts.groupBy("grp").agg(F.max(F.struct("n", "comp"))["comp"].alias("main")), "dedup-mains")
+    sides = common.materialise(parts.join(mains, "grp").groupBy("grp", (F.col("comp") == F.col("main")).alias("is_main"), "main").agg(blocks.alias("nb")), "dedup-sides")
+    wide = sides.groupBy("grp", "main").agg(F.max(F.when(F.col("is_main"), F.col("nb"))).alias("nm"), F.max(F.when(~F.col("is_main"), F.col("nb"))).alias("no")).where("no is not null")
+    x = rows.join(wide, "grp").withColumn("is_main", F.col("comp") == F.col("main"))
+    x = x.withColumn("b", F.pmod(F.xxhash64("fp"), F.when(F.col("is_main"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
+    own = "struct(cast({} as int) as i, cast({} as int) as t)"
+    cells = f"""if(is_main, transform(sequence(0, no - 1), i -> {own.format("i", "no + b")}),
+        concat(transform(sequence(b, no - 1), t -> {own.format("b", "t")}), transform(sequence(0, nm - 1), m -> {own.format("b", "no + m")}),
+               if(b = 0, cast(array() as array<struct<i:int,t:int>>), transform(sequence(0, b - 1), i -> {own.format("i", "b")}))))"""
+    x = x.select("grp", "comp", "fp", "text", F.when(F.col("is_main"), -1).otherwise(F.col("b")).alias("b"), F.explode(F.expr(cells)).alias("c")).select("grp", "comp", "fp", "text", "b", "c.i", "c.t")
+    shared = spark.sparkContext.broadcast(idf)
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = list(zip(table["fp"].to_pylist(), table["comp"].to_pylist(), table["b"].to_pylist(), table["text"].to_pylist(), strict=True))
+        got = block_links(docs, shared.value, similar)
+        return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
+
+    return common.materialise(x.groupBy("grp", "i", "t").applyInArrow(run, "a bigint, b bigint"), "dedup-closed")
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, rk, class_id, class_size, keep_id and keep_rk (the row that stands for its class)."""
     idf = idf_table(docs)
     sig = signatures(docs, idf)
     # rows of equal sets are one element
-    sets = common.materialise(sig.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "dedup-sets")
-    band = common.materialise(sets.select("fp", "weight", F.explode("bands").alias("key")), "dedup-bands")
-    hubs = common.materialise(band.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "dedup-hubs")
-    members = common.materialise(band.join(hubs, "key"), "dedup-members")
-    needed = common.materialise(members.select("fp").distinct().join(sets.select("fp", "rep"), "fp").select("fp", F.col("rep.doc_id").alias("need_id"), F.col("rep.rk").alias("need_rk")), "dedup-needed")
+    sets = common.materialise(sig.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "dedup-sets")
+    band = common.materialise(sets.select("fp", F.explode("bands").alias("key")), "dedup-bands")
+    company = common.materialise(band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-company")
+    members = common.materialise(band.join(company, "key"), "dedup-members")
+    degree = common.materialise(members.groupBy("fp").agg(F.sum("n").alias("degree")), "dedup-degree")
+    ranked = common.materialise(members.join(degree, "fp").select("key", "fp", "degree"), "dedup-ranked")
+    hubs = common.materialise(ranked.groupBy("key").agg(F.max(F.struct("degree", "fp"))["fp"].alias("hub")), "dedup-hubs")
+    members = common.materialise(ranked.join(hubs, "key").select("key", "fp", "hub"), "dedup-members")
+    needed = degree.select("fp").join(sets.select("fp", "rep"), "fp").select("fp", F.col("rep.doc_id").alias("need_id"), F.col("rep.rk").alias("need_rk"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text")
-    texts = source.join(needed, (source["rk"] == needed["need_rk"]) & source["doc_id"].eqNullSafe(needed["need_id"])).select("fp", "text")
+    # the list of needed rows grows with the corpus, so it is shuffled, never broadcast
+    texts = source.join(needed.hint("merge"), (source["rk"] == needed["need_rk"]) & source["doc_id"].eqNullSafe(needed["need_id"])).select("fp", "text")
     texts = common.materialise(texts, "dedup-texts")
-    if texts.count() > needed.count():  # the row that stands for a set is repeated
+    if texts.count() > degree.count():  # the row that stands for a set is repeated
         texts = common.materialise(texts.groupBy("fp").agg(F.first("text").alias("text")), "dedup-texts")
     stars = members.where("fp <> hub").groupBy(F.col("hub").alias("a"), F.col("fp").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     links = verified(stars, texts, idf, similar).select("a", "b")
     comp = components(links)
-    # buckets in which more than one component is left: their members are compared across components
-    at = common.materialise(members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "weight", "hub", F.coalesce("comp", "fp").alias("comp")), "dedup-at")
-    mixed = at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    open_ = common.materialise(at.join(mixed, "key", "left_semi"), "dedup-open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("fp", "weight", "hub", "comp")]) for i in (1, 2))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("comp_1") < F.col("comp_2")) & (F.least("weight_1", "weight_2") >= similar * F.greatest("weight_1", "weight_2")) & (F.col("fp_1") != F.col("hub_1")) & (F.col("fp_2") != F.col("hub_2")))
-    cross = cross.groupBy(F.col("fp_1").alias("a"), F.col("fp_2").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    more = verified(cross, texts, idf, similar).select("a", "b")
+    more = closed(members, comp, texts, idf, similar)
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     of = sets.select("fp", "rep", "n").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))

@@ -8,8 +8,8 @@ commit protocol guards against lost executors and any store works; files of high
 
 Reading goes group by group, so memory is bounded by GROUP ids or one document. ``read_slice`` finds ids by the index.
 
-The tokenizer is the library; words that come again are kept (MOST_WORDS of them), and new ones are given to it together,
-split by its end-of-word marks. Texts with characters for which that has not been shown equal are given to it whole.
+The tokenizer is the library; words that come again are kept (MOST_WORDS of them), and new ones go to its merges part by
+part. Texts with characters for which that has not been shown equal are given to it whole.
 
 Defined results: null text has the end id alone; null doc_ids come first; equal doc_ids are ordered by a hash of the text.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL, END_ID = "word_bpe_49k.json", 2
-BLOCK, GROUP, MOST_WORDS = 4096, 1 << 18, 1 << 18
+BLOCK, GROUP, MOST_WORDS = 1 << 15, 1 << 19, 1 << 20
 PERCENTILES = (100, 99, 97, 95, 90)
 
 # letters, digits and others up to U+017F in the tokenizer's own parting of words
@@ -38,6 +38,13 @@ _ODD = re.compile("[^\t-\r -~¡-įı-ſ]|<\\|")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿĀ-ſ0-9²³¹¼½¾]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in turn from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Whole texts to ids, as the library gives them."""
 
@@ -45,30 +52,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        vocab = self.lib.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.lib.model
+        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """ids of a word without white space: its parts go to the library's merges at once, past its normaliser and splitter."""
+        ids = []
+        for part in _PARTS.findall(word):
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > MOST_WORDS:
             self.words.clear()
             new = list(words)
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            pieces = np.cumsum([len(_PARTS.findall(w)) for w in part])
-            if len(ends) != pieces[-1]:
-                self.words.update((w, self.whole(w)) for w in part)
-                continue
-            cut = [0, *ends[pieces - 1].tolist()]
-            raw = ids.tobytes()
-            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
+        self.words.update((w, self.word(w)) for w in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
@@ -128,11 +133,11 @@ def encode_block(ids: np.ndarray) -> bytes:
     v = (ids - np.uint32(low)).astype(np.uint32)
     best = None
     if len(v):
-        order = np.sort(v)
+        widths = np.frexp(v.astype(np.float64))[1]  # bits that each value needs
+        up_to = np.cumsum(np.bincount(widths, minlength=33))
         for p in PERCENTILES:
-            at = -(-len(v) * p // 100) - 1
-            width = int(order[at]).bit_length()
-            over = len(v) - int(np.searchsorted(order, np.uint64(1) << np.uint64(width)))
+            width = int(np.searchsorted(up_to, -(-len(v) * p // 100)))
+            over = len(v) - int(up_to[width])
             size = -(-len(v) // 64) * 8 * width + 6 * over
             if best is None or size < best[0]:
                 best = (size, width)
