@@ -253,7 +253,7 @@ def block_links(docs: list[tuple[int, int, int, str]], idf: np.ndarray, similar:
     return out
 
 
-BLOCK_DOCS, BLOCK_CHARS = 512, 4_000_000
+BLOCK_DOCS, BLOCK_CHARS, SALTS = 512, 4_000_000, 32
 
 
 def closed(members: DataFrame, comp: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
@@ -274,13 +274,17 @@ def closed(members: DataFrame, comp: DataFrame, texts: DataFrame, idf: np.ndarra
     mains = common.materialise(parts.groupBy("grp").agg(F.max(F.struct("n", "comp"))["comp"].alias("main")), "dedup-mains")
     sides = common.materialise(parts.join(mains, "grp").groupBy("grp", (F.col("comp") == F.col("main")).alias("is_main"), "main").agg(blocks.alias("nb")), "dedup-sides")
     wide = sides.groupBy("grp", "main").agg(F.max(F.when(F.col("is_main"), F.col("nb"))).alias("nm"), F.max(F.when(~F.col("is_main"), F.col("nb"))).alias("no")).where("no is not null")
-    x = rows.join(wide, "grp").withColumn("is_main", F.col("comp") == F.col("main"))
+    # a group may hold a third of all rows: its rows meet the sizes in SALTS places
+    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS))).join(wide, ["grp", "salt"]).withColumn("is_main", F.col("comp") == F.col("main"))
     x = x.withColumn("b", F.pmod(F.xxhash64("fp"), F.when(F.col("is_main"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
     own = "struct(cast({} as int) as i, cast({} as int) as t)"
     cells = f"""if(is_main, transform(sequence(0, no - 1), i -> {own.format("i", "no + b")}),
         concat(transform(sequence(b, no - 1), t -> {own.format("b", "t")}), transform(sequence(0, nm - 1), m -> {own.format("b", "no + m")}),
                if(b = 0, cast(array() as array<struct<i:int,t:int>>), transform(sequence(0, b - 1), i -> {own.format("i", "b")}))))"""
     x = x.select("grp", "comp", "fp", "text", F.when(F.col("is_main"), -1).otherwise(F.col("b")).alias("b"), F.explode(F.expr(cells)).alias("c")).select("grp", "comp", "fp", "text", "b", "c.i", "c.t")
+    # dealt by all three: else the planner keeps what the join has by group, and a group's block pairs stay in one task
+    x = x.repartition("grp", "i", "t")
     shared = spark.sparkContext.broadcast(idf)
 
     def run(table: pa.Table) -> pa.Table:
