@@ -16,6 +16,8 @@ without labels of both kinds every score is 0.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -190,17 +192,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Mod
     lab = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = common.materialise(chosen, "toxic-labels")
-    got = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # most rows at most
-    got = sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))
+    common.prepare(docs.sparkSession)
+
+    def run(batches):
+        got = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "toxic")), strict=True)]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(got))], pa.binary())], ["fitted"])
+
+    # most rows at most, in one task: the driver gets the fitted model alone
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    made = rows.repartition(1).mapInArrow(run, "fitted binary").first()
+    return pickle.loads(bytes(made["fitted"])) if made else (None, {})
+
+
+def fit_rows(rows: list[tuple]) -> tuple[Model | None, dict[str, float]]:
+    """As fit, from rows of doc_id, text, lang and label."""
+    got = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     apart = [r for i, r in enumerate(got) if i % CALIBRATE == 0] if len(got) >= 1000 else []
     used = [r for i, r in enumerate(got) if i % CALIBRATE] if apart else got
-    model = train([r["text"] or "" for r in used], np.array([r["toxic"] for r in used]))
+    model = train([r[1] or "" for r in used], np.array([r[3] for r in used]))
     thresholds: dict[str, float] = {}
     if model and apart:
-        score = np.concatenate([model.score(p) for _, p in common.blocks([(r["text"] or "").lower() for r in apart])])
-        for lang in {r["lang"] for r in apart if r["lang"] is not None}:
-            own = np.array([r["lang"] == lang for r in apart])
-            s, y = score[own], np.array([r["toxic"] for r in apart])[own]
+        score = np.concatenate([model.score(p) for _, p in common.blocks([(r[1] or "").lower() for r in apart])])
+        for lang in {r[2] for r in apart if r[2] is not None}:
+            own = np.array([r[2] == lang for r in apart])
+            s, y = score[own], np.array([r[3] for r in apart])[own]
             if y.sum() < 10:
                 continue
             cuts = np.linspace(0.3, 0.9, 61)
