@@ -259,6 +259,29 @@ def test_block_links_exact():
     assert [find(i) for i in range(len(texts))] == want
 
 
+def test_dedup_large_group(spark):
+    # pairs of plain similarity 0.8 and a little more that share what a third of all documents hold
+    common_text = " ".join(f"c{i}" for i in range(84))
+
+    def ends(name, n):
+        return f"{common_text} " + " ".join(f"{name}{i}" for i in range(n))
+
+    other = [f"{common_text} " + " ".join(f"f{k}x{i}" for i in range(90)) for k in range(40)]
+    texts = [*(ends(n, 10) for n in "ab"), *other, *words(84, 21, 100)]
+    docs = documents(spark, texts).withColumn("doc_id", F.col("extra"))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, *range(2, len(texts))]
+    # and in the product of two blocks
+    idf = minhash.idf_table(docs)
+    assert minhash.block_links([(i, i, 0, t) for i, t in enumerate(texts[:4])], idf) == [(0, 1)]
+    # at what a third holds, weight may not let less similar texts join
+    heavy = np.full(minhash.CELLS, np.log1p(1 / minhash.SMOOTH), np.float32)
+    x = np.arange(1000, dtype=np.uint64)
+    heavy[750:] = np.log1p(1 / (1 / 3 + minhash.SMOOTH))
+    ones = np.ones(1000, np.int64)
+    assert minhash.similarity(heavy, (x[:750], ones[:750]), (x, ones)) < 0.8
+
+
 # --- 5, 6 and 10 --------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ A text is the weighted set of its shingles of five lower-case words (fewer words
 count times an inverse document frequency ln(1 + 1 / (share + SMOOTH)), where share is the part of documents that hold it.
 Document frequencies are counted over all documents in a hashed table of fixed size: its error is a fixed share of the
 corpus (shingles per document / CELLS), so weights mean the same at any size, and what is broadcast does not grow. SMOOTH
-keeps copies in groups of any size alike: a shingle of a third of all documents still weighs 0.6 of a rare one.
+keeps copies in groups of any size alike: a shingle of a third of all documents still weighs 0.93 of a rare one, one of all
+documents 0.81. What is left of the difference loses no link, as plain similarity (all shingles weigh their counts) links too.
 
 Each document gives BANDS * ROWS consistent samples; parameters (r, c, beta) of a shingle come from a table of 65,536 independent draws
 per sample, and beta is rotated by the shingle's own hash. Equal weighted sets are one element from here on. Elements that
@@ -12,7 +13,7 @@ share a band are candidates. Every bucket first compares its members with a hub,
 buckets. Buckets whose members are then still in different components are closed exactly: their members meet by connected
 candidates in pairs of blocks of bounded size, each block pair's similarities are one sparse product over the shingles
 that it shares, and only links that join components leave the task. Members of a group's main component are not compared
-with each other again, so the work follows those that the hub did not reach. Links are what weighted Jaccard verifies, on
+with each other again, so the work follows those that the hub did not reach. Links are what weighted or plain Jaccard verifies, on
 the whole texts; classes are the components.
 
 Defined results: texts without words (null or empty) are in no class but their own; class_id is the smallest doc_id of the
@@ -31,7 +32,7 @@ from .components import components
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
-CELLS, SLICE, SMOOTH = 1 << 18, 1 << 14, 0.25
+CELLS, SLICE, SMOOTH = 1 << 18, 1 << 14, 4.0
 _INSIDE = ~common.BLANK
 _Q = np.array([pow(0xD1342543DE82EF95, j, 1 << 64) for j in range(WORDS)], np.uint64)
 
@@ -171,7 +172,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def similarity(idf: np.ndarray, a: tuple, b: tuple) -> float:
-    """Weighted Jaccard similarity of two shingle sets."""
+    """Jaccard similarity of two shingle sets: the larger of the weighted and the plain one."""
     (x, tx), (y, ty) = a, b
     if not len(x) or not len(y):
         return 0.0
@@ -180,7 +181,8 @@ def similarity(idf: np.ndarray, a: tuple, b: tuple) -> float:
     own = idf[(y & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.float64)
     both = float((np.minimum(tx[at], ty)[same] * own[same]).sum())
     whole = float((tx * idf[(x & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.float64)).sum()) + float((ty * own).sum())
-    return both / (whole - both)
+    plain = float(np.minimum(tx[at], ty)[same].sum())
+    return max(both / (whole - both), plain / (float(tx.sum() + ty.sum()) - plain))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
@@ -225,15 +227,25 @@ def block_links(docs: list[tuple[int, int, int, str]], idf: np.ndarray, similar:
     held = np.diff(np.concatenate([first, [len(col)]]))
     number = np.repeat(np.cumsum(held > 1) - 1, held)
     shared = np.repeat(held > 1, held)
-    number, doc, w = number[shared], doc[shared], np.sqrt(idf[(x[shared] & np.uint64(CELLS - 1)).astype(np.int64)])
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    every = idf[(x & np.uint64(CELLS - 1)).astype(np.int64)]
+    number, doc, w = number[shared], doc[shared], np.sqrt(every[shared])
     step = max(256, (1 << 22) // len(sets))
     cuts = np.searchsorted(number, np.arange(0, (int(number[-1]) if len(number) else -1) + 1 + step, step))
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        m = np.zeros((len(sets), step), np.float32)
-        m[doc[a:b], number[a:b] - k * step] = w[a:b]
-        both += m @ m.T
-    sim = both / (weight[:, None] + weight[None, :] - both)
+
+    def product(w: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            m = np.zeros((len(sets), step), np.float32)
+            m[doc[a:b], number[a:b] - k * step] = w[a:b]
+            both += m @ m.T
+        return both / (whole[:, None] + whole[None, :] - both)
+
+    sim = product(w, weight)
+    # plain similarity can reach the border only from here on; its product is made if pairs of two components lie between
+    least = similar * float(every.min()) / (similar * float(every.min()) + (1 - similar) * float(every.max()))
+    comp = np.unique([d[1] for d in docs], return_inverse=True)[1]
+    if (np.triu((sim >= least - 1e-4) & (sim < similar + 1e-4), 1) & (comp[:, None] != comp[None, :])).any():
+        sim = np.maximum(sim, product(np.ones(len(w), np.float32), np.bincount(np.repeat(np.arange(len(sets)), size), weights=tf, minlength=len(sets))))
     i, j = np.nonzero(np.triu(sim >= similar - 1e-4, 1))
     root = {d[1]: d[1] for d in docs}
 
