@@ -179,6 +179,18 @@ def test_topk_pruning():
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("m", [2, 7])
+def test_topk_repeated_query(m):
+    r = np.random.default_rng(m)
+    x = r.integers(-50, 50, (60, 8))
+    q = x[:1] * 20  # longer than all others, so its own products lead
+    xid = np.concatenate([np.zeros(m, np.int64), np.arange(1, 61)])
+    got = exact_topk.block_topk(np.zeros(1, np.int64), q, xid, np.concatenate([np.repeat(q, m, axis=0), x]), None, 5)
+    s = x @ q[0]
+    want = sorted((-int(v), i + 1) for i, v in enumerate(s))[:5]
+    assert [(-int(v), int(i)) for i, v in zip(got[1], got[2], strict=True)] == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (200, 200)]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -76,14 +76,17 @@ def block_topk(qid, q, xid, x, bounds: dict[int, int] | None, k: int):
         need = min((theta[i] / q_len[i] if q_len[i] > 0 else -np.inf) for i in dense)
         n = len(x) if need <= 0 else int(np.searchsorted(-x_len, -need * (1 - 1e-9), side="right"))
         s = products(q[dense], x[:n])
+        own = qid[dense][:, None] == xid[None, :n]
         for r, i in enumerate(dense):
-            row = s[r]
+            # the query's own rows, however many, leave before the cut
+            others = np.flatnonzero(~own[r])
+            row = s[r, others]
             if len(row) > 4 * k:
-                cut = np.partition(row, len(row) - k - 1)[len(row) - k - 1]  # one more than k: the query itself may be there
+                cut = np.partition(row, len(row) - k)[len(row) - k]
                 at = np.flatnonzero(row >= cut)
             else:
                 at = np.arange(len(row))
-            keep(i, at, row[at])
+            keep(i, others[at], row[at])
     return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
 
 
