@@ -136,6 +136,13 @@ def test_ann_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_repeated_query(spark):
+    x = np.random.default_rng(4).normal(size=(40, 8))
+    rows = [(i, x[i].tolist()) for i in [0, 0, 0, *range(1, 40)]]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == (1 + np.argsort(-(x[1:] @ x[0]))[:20]).tolist()
+
+
 def test_ann_query(spark, sf):
     assert ann.op3_ann(spark, sf).count() == 25 * 20
 

@@ -10,7 +10,8 @@ blocks in blocks. On vectors without clusters many parts must be visited to find
 from the sample and is not a constant.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-without id; vectors of another length than the sample's are compared with none; rows with the query's id are its own.
+without id; vectors of another length than the sample's are compared with none; rows with the query's id are its own;
+a query row that is repeated is one query.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     index, n = vectors.with_blocks(common.materialise(routed(x, router, 1), "ann-parts"), ["part"], vectors.BLOCK, "block")
     items = vectors.packed(index, ["part", "block"], "items")
-    asked = common.materialise(routed(x.where(is_query), router, router.visit), "ann-queries")
+    asked = common.materialise(routed(x.where(is_query).dropDuplicates(["vec_id", "v"]), router, router.visit), "ann-queries")
     blocks, _ = vectors.with_blocks(asked, ["part"], vectors.QUERIES, "qblock")
     sent = vectors.packed(blocks, ["part", "qblock"], "queries").join(n, "part").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     pairs = sent.join(items, ["part", "block"]).select("queries", "items")
