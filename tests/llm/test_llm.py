@@ -211,10 +211,29 @@ def test_icws_estimates_similarity():
     x = np.unique(r.integers(0, 1 << 63, 600).astype(np.uint64))
     a, b = x[:450], x[150:]
     ta, tb = r.integers(1, 3, len(a)), r.integers(1, 3, len(b))
-    same = (s.bands_of(a, s.weights(a, ta)) == s.bands_of(b, s.weights(b, tb))).mean()
+    keys = s.bands_of([(a, s.weights(a, ta)), (b, s.weights(b, tb))])
+    same = (keys[0] == keys[1]).mean()
     assert same == pytest.approx(minhash.similarity(idf, (a, ta), (b, tb)), abs=0.08)
 
 
+def test_bands_by_all_values():
+    """The border saves work only: keys are those of the smallest of all values, for sets of any size."""
+    r = np.random.default_rng(1)
+    s = minhash.Sampler(r.uniform(0.1, 2, minhash.CELLS).astype(np.float32))
+    sets = []
+    for n in [1, 2, 3, 10, 500, 9000, *[20] * 60]:
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        sets.append((x, s.weights(x, r.integers(1, 4, len(x)))))
+    for (x, w), got in zip(sets, s.bands_of(sets), strict=True):
+        lw, want = np.log(w).astype(np.float32), []
+        for j in range(len(s.r)):
+            a, step = s.values(np.full(len(x), j), x, lw)
+            i = int(a.argmin())
+            want.append(x[i : i + 1] + step[i : i + 1].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ s.salt[j : j + 1])
+        want = minhash.common.mix(np.concatenate(want)).reshape(s.bands, s.rows).sum(axis=1, dtype=np.uint64)
+        assert (minhash.common.mix(want + np.arange(s.bands, dtype=np.uint64)) == got).all()
+
+
 def brute_classes(docs, idf):
     sets = [next(iter(minhash.sets_of([t]))) for _, t in docs]
     root = list(range(len(docs)))

@@ -39,7 +39,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilmap-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veilmap_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that materialise wrote and that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.__dict__["_veilmap_path"])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def prepare(spark: SparkSession) -> None:

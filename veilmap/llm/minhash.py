@@ -100,45 +100,68 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 class Sampler:
     """Consistent samples of weighted sets."""
 
+    #: A minimum is above (this power of e) / weight once in exp(e ** REACH) times, about 1 in 1,600.
+    REACH = 2.0
+
     def __init__(self, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 5):
         self.idf, self.bands, self.rows = idf, bands, rows
         rng = np.random.default_rng(seed)
         k = bands * rows
         self.r = rng.gamma(2, 1, (k, 1 << 16)).astype(np.float32)
-        self.inv = (1 / self.r).astype(np.float32)
+        self.inv = 1 / self.r
         self.lnc = (np.log(rng.gamma(2, 1, (k, 1 << 16))) - self.r).astype(np.float32)
         self.beta = rng.random((k, 1 << 16), np.float32)
+        self.low = np.ascontiguousarray(self.lnc.T)
         self.salt = common.mix(np.arange(1, k + 1, dtype=np.uint64))
 
     def weights(self, x: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return tf * self.idf[(x & np.uint64(CELLS - 1)).astype(np.int64)]
 
-    def bands_of(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The keys of the bands of a weighted set that is not empty."""
-        k = len(self.r)
-        low, arg = np.full(k, np.inf, np.float32), np.zeros(k, np.int64)
-        step = np.zeros(k, np.float32)
+    def values(self, k: np.ndarray, x: np.ndarray, lw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logarithm to be minimised, step) of shingles x of logarithmic weight lw in samples k."""
+        row = (x >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.int64)
+        beta = self.beta[k, row] + (x >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+        beta -= beta >= 1
+        step = np.floor(self.inv[k, row] * lw + beta)
+        return self.lnc[k, row] - self.r[k, row] * (step - beta), step
+
+    def bands_of(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The keys of the bands of weighted sets (shingles, weights) that are not empty, a row each.
+
+        A value lies above ``low`` less the logarithm of the weight. So what is below a border that the minimum hardly ever
+        passes is found by one comparison, and worked out; where the minimum does pass it, all of the set is worked out.
+        """
+        k, docs = len(self.r), len(sets)
+        x, w = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
+        first = np.concatenate([[0], np.cumsum([len(s[0]) for s in sets])])
         lw = np.log(w).astype(np.float32)
+        reach = (self.REACH - np.log(np.add.reduceat(w.astype(np.float64), first[:-1]))).astype(np.float32)
+        doc = np.repeat(np.arange(docs), np.diff(first))
+        border = reach[doc] + lw + np.float32(1e-3)
+        low = np.full(docs * k, np.inf, np.float32)
+        arg, step = np.zeros(docs * k, np.int64), np.zeros(docs * k, np.float32)
         for i in range(0, len(x), 4096):
-            part = x[i : i + 4096]
-            row = (part >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.int64)
-            turn = ((part >> np.uint64(40)).astype(np.float32)) * np.float32(2**-24)
-            beta = self.beta.take(row, axis=1)
-            beta += turn
-            beta -= beta >= 1
-            r = self.r.take(row, axis=1)
-            t = self.inv.take(row, axis=1)
-            t *= lw[i : i + 4096]
-            t += beta
-            np.floor(t, out=t)
-            a = self.lnc.take(row, axis=1)
-            a -= r * (t - beta)
-            at = a.argmin(axis=1)
-            best = a[np.arange(k), at]
-            less = best < low
-            low[less], arg[less], step[less] = best[less], at[less] + i, t[np.arange(k), at][less]
-        sample = common.mix(x[arg] + step.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.salt)
-        return common.mix(sample.reshape(self.bands, self.rows).sum(axis=1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64))
+            row = (x[i : i + 4096] >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.int64)
+            near = np.flatnonzero(self.low.take(row, axis=0) <= border[i : i + 4096, None])
+            at, j = np.divmod(near, k)
+            at += i
+            self._keep(low, arg, step, doc[at] * k + j, at, j, x[at], lw[at])
+        for cell in np.flatnonzero(low > np.repeat(reach, k)).tolist():
+            d, j = divmod(cell, k)
+            for i in range(first[d], first[d + 1], 65536):
+                at = np.arange(i, min(i + 65536, first[d + 1]))
+                self._keep(low, arg, step, np.full(len(at), cell), at, np.full(len(at), j), x[at], lw[at])
+        sample = x[arg] + step.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sample = common.mix(sample.reshape(docs, k) ^ self.salt)
+        return common.mix(sample.reshape(docs, self.bands, self.rows).sum(axis=2, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64))
+
+    def _keep(self, low: np.ndarray, arg: np.ndarray, step: np.ndarray, cell: np.ndarray, at: np.ndarray, j: np.ndarray, x: np.ndarray, lw: np.ndarray) -> None:
+        """Put the smallest values into their cells, the first of equal ones."""
+        a, t = self.values(j, x, lw)
+        before = low[cell]
+        np.minimum.at(low, cell, a)
+        best = np.flatnonzero((a == low[cell]) & (a < before))[::-1]
+        arg[cell[best]], step[cell[best]] = at[best], t[best]
 
     @staticmethod
     def identity(x: np.ndarray, tf: np.ndarray) -> int:
@@ -158,13 +181,29 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             made.append(Sampler(shared.value))
         s = made[0]
         for b in batches:
-            fp, weight, bands = [], [], []
+            fp, weight, bands, todo = [], [], [], []
+
+            def sample():
+                if todo:
+                    got = s.bands_of([t[1:] for t in todo]).astype(np.int64)
+                    for (i, *_), g in zip(todo, got, strict=True):
+                        bands[i] = g
+                    todo.clear()
+
+            held = 0
             for x, tf in sets_of(b.column("text").to_pylist()):
+                bands.append(None)
                 if not len(x):
-                    fp.append(None), weight.append(None), bands.append(None)
+                    fp.append(None), weight.append(None)
                     continue
                 w = s.weights(x, tf)
-                fp.append(s.identity(x, tf)), weight.append(float(w.sum())), bands.append(s.bands_of(x, w).astype(np.int64))
+                fp.append(s.identity(x, tf)), weight.append(float(w.sum()))
+                todo.append((len(bands) - 1, x, w))
+                held += len(x)
+                if held > 1 << 18:
+                    sample()
+                    held = 0
+            sample()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fp, pa.int64()), pa.array(weight, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "rk", "fp", "weight", "bands"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text")
@@ -202,8 +241,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
                     out.append((p, q, s))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    right = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
-    whole = right.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    right = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    whole = right.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
     return common.materialise(whole.mapInArrow(run, "a bigint, b bigint, similarity double"), "dedup-links")
 
 
@@ -275,12 +314,13 @@ def closed(members: DataFrame, comp: DataFrame, texts: DataFrame, idf: np.ndarra
     other and with it, in pairs of blocks of about BLOCK_DOCS documents or BLOCK_CHARS characters.
     """
     spark = members.sparkSession
-    at = common.materialise(members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "hub", F.coalesce("comp", "fp").alias("comp")), "dedup-at")
+    # what grows with the corpus is shuffled, never broadcast
+    at = common.materialise(members.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("key", "fp", "hub", F.coalesce("comp", "fp").alias("comp")), "dedup-at")
     mixed = common.materialise(at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "dedup-mixed")
-    open_ = common.materialise(at.join(mixed, "key", "left_semi"), "dedup-open")
+    open_ = common.materialise(at.join(mixed.hint("merge"), "key", "left_semi"), "dedup-open")
     groups = components(open_.select(F.col("hub").alias("a"), F.col("fp").alias("b")).where("a <> b"))
-    rows = open_.select("fp", "comp").distinct().join(groups.select(F.col("node").alias("fp"), F.col("comp").alias("grp")), "fp")
-    rows = common.materialise(rows.join(texts, "fp").select("grp", "comp", "fp", "text"), "dedup-rows")
+    rows = open_.select("fp", "comp").distinct().join(groups.select(F.col("node").alias("fp"), F.col("comp").alias("grp")).hint("merge"), "fp")
+    rows = common.materialise(rows.join(texts.hint("merge"), "fp").select("grp", "comp", "fp", "text"), "dedup-rows")
     parts = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.sum("n") / BLOCK_DOCS, F.sum("chars") / BLOCK_CHARS))).cast("int")
     mains = common.materialise(parts.groupBy("grp").agg(F.max(F.struct("n", "comp"))["comp"].alias("main")), "dedup-mains")
@@ -315,12 +355,12 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     sets = common.materialise(sig.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "dedup-sets")
     band = common.materialise(sets.select("fp", F.explode("bands").alias("key")), "dedup-bands")
     company = common.materialise(band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-company")
-    members = common.materialise(band.join(company, "key"), "dedup-members")
+    members = common.materialise(band.join(company.hint("merge"), "key"), "dedup-members")
     degree = common.materialise(members.groupBy("fp").agg(F.sum("n").alias("degree")), "dedup-degree")
-    ranked = common.materialise(members.join(degree, "fp").select("key", "fp", "degree"), "dedup-ranked")
+    ranked = common.materialise(members.join(degree.hint("merge"), "fp").select("key", "fp", "degree"), "dedup-ranked")
     hubs = common.materialise(ranked.groupBy("key").agg(F.max(F.struct("degree", "fp"))["fp"].alias("hub")), "dedup-hubs")
-    members = common.materialise(ranked.join(hubs, "key").select("key", "fp", "hub"), "dedup-members")
-    needed = degree.select("fp").join(sets.select("fp", "rep"), "fp").select("fp", F.col("rep.doc_id").alias("need_id"), F.col("rep.rk").alias("need_rk"))
+    members = common.materialise(ranked.join(hubs.hint("merge"), "key").select("key", "fp", "hub"), "dedup-members")
+    needed = degree.select("fp").join(sets.select("fp", "rep").hint("merge"), "fp").select("fp", F.col("rep.doc_id").alias("need_id"), F.col("rep.rk").alias("need_rk"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text")
     # the list of needed rows grows with the corpus, so it is shuffled, never broadcast
     texts = source.join(needed.hint("merge"), (source["rk"] == needed["need_rk"]) & source["doc_id"].eqNullSafe(needed["need_id"])).select("fp", "text")
@@ -333,11 +373,11 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     more = closed(members, comp, texts, idf, similar)
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    of = sets.select("fp", "rep", "n").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))
+    of = sets.select("fp", "rep", "n").join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp"))
     of = common.materialise(of, "dedup-of")
     heads = of.groupBy("comp").agg(F.min("rep").alias("head"), F.sum("n").alias("class_size"))
-    by = common.materialise(of.join(heads, "comp").select("fp", "head", "class_size"), "dedup-by")
-    return sig.join(by, "fp", "left").select("doc_id", "rk", F.when(F.col("head").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(F.col("head").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce(F.col("head.rk"), F.col("rk")).alias("keep_rk"))
+    by = common.materialise(of.join(heads.hint("merge"), "comp").select("fp", "head", "class_size"), "dedup-by")
+    return sig.join(by.hint("merge"), "fp", "left").select("doc_id", "rk", F.when(F.col("head").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(F.col("head").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce(F.col("head.rk"), F.col("rk")).alias("keep_rk"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -346,7 +386,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = got.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rk") == F.col("keep_rk")))
     kept = common.materialise(kept.groupBy(F.col("doc_id").alias("dd_id"), F.col("rk").alias("dd_rk")).agg(F.count(F.lit(1)).alias("dd_n")), "dedup-kept")
     x = docs.withColumn("dd_key", F.xxhash64("text"))
-    x = x.join(kept, (F.col("dd_key") == F.col("dd_rk")) & x["doc_id"].cast("long").eqNullSafe(F.col("dd_id")))
+    x = x.join(kept.hint("merge"), (F.col("dd_key") == F.col("dd_rk")) & x["doc_id"].cast("long").eqNullSafe(F.col("dd_id")))
     empty = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "")) == ""
     many = x.where((F.col("dd_n") > 1) & ~empty).dropDuplicates(["dd_id", "dd_rk"])  # a row that is repeated as a whole
     return x.where((F.col("dd_n") == 1) | empty).unionByName(many).select(*docs.columns)
