@@ -11,7 +11,7 @@ from . import fixtures as fx
 from .fixtures import FRAME, LIVE_SQL, ORDERS_SQL, SHOWN_SQL, TEXTS_SQL, TIERS_SQL, VIEWER, allowed_sql, fixed_sql, tile_sql
 from .functions import bins, shapes, spatial
 from .functions.text import ascii_tokens
-from .operators import access, aggregate, categories, filters, layers, records, viewport
+from .operators import access, aggregate, categories, filters, layers, records, trees, viewport
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,10 +571,31 @@ def browse_search(spark, d):
     return layers.browse(_passing(spark, d), query="C1", limit=10)
 
 
-@query()
+# the whole layer as a nested one, r1 and two nations withheld; each node is drawn at depths from its rung to its children's
+_TREE = f"""with recursive {SHOWN_SQL}, {TIERS_SQL}, ok as (select artifact from artifacts join masked using (artifact) where masked >= 5 and artifact not in ('r1', 'n3', 'n8')),
+climb as (select a.artifact, a.parent from artifacts a join ok using (artifact) where a.parent is not null
+    union select c.artifact, a.parent from climb c join artifacts a on a.artifact = c.parent where c.parent not in (select artifact from ok) and a.parent is not null),
+links as (select c.artifact, c.parent from climb c join ok o on o.artifact = c.parent),
+walk as (select artifact, 0 as rung from ok where artifact not in (select artifact from links) union all select l.artifact, w.rung + 1 from walk w join links l on l.parent = w.artifact),
+steps as (select artifact, rung, (select min(b.rung) from links l join walk b on b.artifact = l.artifact where l.parent = w.artifact) as below from walk w),
+sizes as (select d.depth, (select count(*) from steps where rung <= d.depth and {{drawn}}) as size from (select distinct rung as depth from steps) d),
+cut as (select coalesce(max(depth) filter (where size <= {{budget}}), 0) as depth from sizes)
+select artifact, rung, below is null or below > d.depth as frontier from steps, cut d where rung <= d.depth and {{drawn}}"""
+
+
+def _tree(spark, d, budget, prune):
+    a = fx.tiers(spark, d)[0].withColumn("parents", F.array_compact(F.array("parent")))
+    return trees.drawn_cut(a, _passing(spark, d).where("artifact not in ('r1', 'n3', 'n8')"), budget, prune)
+
+
+@query(_TREE.format(drawn="true", budget=40))
 def tree_cut(spark, d):
-    a = fx.tiers(spark, d)[0].where("level < 2").withColumn("parents", F.array_compact(F.array("parent")))
-    return layers.drawn_cut(a, _passing(spark, d).where("artifact <> 'r1'"), 12, False)
+    return _tree(spark, d, 40, False)
+
+
+@query(_TREE.format(drawn="(below is null or below > d.depth)", budget=20))
+def tree_cut_pruned(spark, d):
+    return _tree(spark, d, 20, True)
 
 
 @query()
