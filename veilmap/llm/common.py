@@ -74,6 +74,30 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+#: What a worker keeps of words that come again.
+KEPT_BYTES = 64 << 20
+
+
+class Kept:
+    """A dictionary of bounded size in bytes; emptied when it is full."""
+
+    def __init__(self, most: int = KEPT_BYTES):
+        self.of: dict[str, bytes] = {}
+        self.most, self.size = most, 0
+
+    def make_room(self, extra: int) -> bool:
+        """Whether what was kept had to go."""
+        full = self.size + extra > self.most and bool(self.of)
+        if full:
+            self.of.clear()
+            self.size = 0
+        return full
+
+    def put(self, key: str, value: bytes) -> None:
+        self.of[key] = value
+        self.size += 160 + 4 * len(key) + len(value)
+
+
 # --- vectorised hashing of words -----------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -6,9 +6,16 @@ best piece before it. For this BPE model the best path is the path whose adjacen
 the library's; a sum of scores would not give them.
 
 ``encode_words_native`` says this in Spark alone (explode, broadcast join to the piece table, groupBy, aggregate).
-``Encoder`` is the same plan over the distinct words of an Arrow batch, in columns: substrings by offset arrays, the join
-by binary search in sorted piece hashes, the grouping by sorted edges, the fold for all words at once, place by place.
-The queries use the second; the README has the figures of both.
+``Encoder`` is the same plan over the distinct words of an Arrow batch, in columns: words are parted where no piece holds the
+two characters side by side (no merge goes over such a place), substrings grow by offset arrays and leave when no piece
+begins with them, the join is a probe of a hashed table of pieces and their beginnings, the grouping sorts edges by place,
+and the fold takes all words at once, place by place. The queries use the second; the README has the figures of both.
+
+Kept words and parts are bounded by common.KEPT_BYTES, so texts without spaces do not fill the memory.
+
+Defined results: null text is empty and has no ids; decoding gives the text back but for characters that the model itself
+changes (its space sign); equal texts and repeated rows each give their row; an empty table gives no rows; columns but doc_id and text
+are left out.
 """
 
 from __future__ import annotations
@@ -24,11 +31,14 @@ from pyspark.sql import functions as F
 from . import bpe, common
 
 MODEL = "piece_bpe_32k.model"
-MOST_WORDS = 1 << 18
 _RUNS = re.compile(r" *[^ ]+| +")
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class PairTable:
     """Which pairs of pieces hold, by open addressing; grows by what is met."""
 
@@ -66,55 +76,88 @@ class PairTable:
         self.size += len(keys)
 
 
+class PieceTable:
+    """Hashes of pieces and of their beginnings, by open addressing: the piece's number, -1 for a beginning only."""
+
+    def __init__(self, found: dict[int, int]):
+        bits = (4 * len(found)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.piece = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32)
+        for h, piece in found.items():
+            at = h >> (64 - bits)
+            while self.piece[at] != -2:
+                at = (at + 1) & int(self.mask)
+            self.keys[at], self.piece[at] = h, piece
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece's number, -1 where only longer pieces begin so, -2 where none does."""
+        at = (h >> self.shift).astype(np.int64)
+        out = np.where(self.keys[at] == h, self.piece[at], -2)
+        left = np.flatnonzero((out == -2) & (self.piece[at] != -2))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            hit = self.keys[at] == h[left]
+            out[left[hit]] = self.piece[at[hit]]
+            more = ~hit & (self.piece[at] != -2)
+            left, at = left[more], at[more]
+        return out
+
+
 class Encoder:
     def __init__(self, path: str):
         p = self.pieces = bpe.load(path)
         self.path = path
         self.list = sorted(p.parts)
-        code = [np.array([ord(c) for c in x], np.int64) for x in self.list]
-        h = np.array([self._hash_of(c) for c in code], np.uint64)
-        order = np.argsort(h)
-        if len(np.unique(h)) != len(h):
+        begins = {x[:n] for x in self.list for n in range(1, len(x) + 1)}
+        number = {x: i for i, x in enumerate(self.list)}
+        found = dict(zip(common.mix(np.array([self._rolled(x) for x in begins], np.uint64)).tolist(), (number.get(x, -1) for x in begins), strict=True))
+        if len(found) != len(begins):
             raise ValueError("two pieces share a hash")
-        self.hash, self.of = h[order], order
+        self.table_of = PieceTable(found)
+        chars = sorted({c for x in self.list for c in x})
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        side = {(ord(a), ord(b)) for x in self.list for a, b in zip(x, x[1:], strict=False)}
+        self.meets = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.meets[self.kind[[a for a, _ in side]], self.kind[[b for _, b in side]]] = True
         self.ids = np.array([p.id[x] for x in self.list], np.int32)
         self.bytes = np.array(p.byte, np.int32)
         self.table = PairTable()
-        self.words: dict[str, bytes] = {}
+        self.words, self.parts = common.Kept(), common.Kept()
         self.text_bytes = [t.replace(bpe.SPACE, " ").encode() for t in p.text]
         for b, i in enumerate(p.byte):
             if i >= 0:
                 self.text_bytes[i] = bytes([b])
 
     @staticmethod
-    def _hash_of(code: np.ndarray) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in code:
-            h = (h + np.uint64(c) + np.uint64(1)) * _Q
-        return common.mix(h)[0]
+    def _rolled(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h + ord(c) + 1) * int(_Q) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The lattice: (start, end, piece or -1 - character) in places of the joined words, and where each word begins."""
-        text = "".join(words)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        """The lattice: (start, end, piece or -1 for a character that is none) in places of the joined words, and where each word begins."""
+        code = _codes("".join(words)).astype(np.uint64) + np.uint64(1)
         size = np.array([len(w) for w in words], np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
         left = np.repeat(begin[1:], size) - np.arange(len(code))  # characters to the word's end
         start, h, out = np.arange(len(code)), np.zeros(len(code), np.uint64), []
-        for n in range(1, self.pieces.longest + 1):  # explode: substrings of n characters
-            keep = left[start] >= n
-            start, h = start[keep], h[keep]
+        for n in range(1, self.pieces.longest + 1):  # explode: substrings of n characters that some piece begins with
+            h = (h + code[start + n - 1]) * _Q
+            piece = self.table_of.find(common.mix(h))  # the equi-join
+            hit = piece >= 0
+            out.append((start[hit], start[hit] + n, piece[hit]))
+            if n == 1:
+                other = start[piece == -2]
+                out.append((other, other + 1, np.full(len(other), -1)))
+            more = (piece > -2) & (left[start] > n)
+            start, h = start[more], h[more]
             if not len(start):
                 break
-            h = (h + code[start + n - 1].astype(np.uint64) + np.uint64(1)) * _Q
-            m = common.mix(h)
-            at = np.minimum(np.searchsorted(self.hash, m), len(self.hash) - 1)  # the equi-join
-            hit = self.hash[at] == m
-            out.append((start[hit], start[hit] + n, self.of[at[hit]]))
-            if n == 1:
-                out.append((start[~hit], start[~hit] + 1, np.full((~hit).sum(), -1)))
         s, e, p = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
-        return s, e, p, begin
+        return s, e, p.astype(np.int64), begin
 
     def _holds(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         keys = u.astype(np.int64) << 20 | v
@@ -176,13 +219,33 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words (without their space) and keep their ids."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
+        new = [w for w in words if w not in self.words.of]
+        if self.words.make_room(sum(map(len, new)) * 8 + 160 * len(new)):
             new = list(words)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            self.words.update(zip(part, (x.tobytes() for x in self.word_ids([bpe.SPACE + w for w in part])), strict=True))
+            for w, ids in zip(part, self.part_by_part([bpe.SPACE + w for w in part]), strict=True):
+                self.words.put(w, ids)
+
+    def part_by_part(self, words: list[str]) -> list[bytes]:
+        """ids of each word; parts that no piece joins are encoded once and kept."""
+        text = "".join(words)
+        kind = self.kind[_codes(text)]
+        ends = np.cumsum([len(w) for w in words])
+        cut = ~self.meets[kind[:-1], kind[1:]]
+        cut[ends[:-1] - 1] = True
+        at = np.concatenate([np.flatnonzero(cut) + 1, [len(text)]])
+        marks = at.tolist()
+        parts = [text[a:b] for a, b in zip([0, *marks], marks, strict=False)]
+        kept = self.parts.of
+        if new := [x for x in set(parts) if x not in kept]:
+            if self.parts.make_room(sum(map(len, new)) * 8 + 160 * len(new)):
+                new = list(set(parts))
+            for x, ids in zip(new, self.word_ids(new), strict=True):
+                self.parts.put(x, ids.tobytes())
+        found = list(map(kept.__getitem__, parts))
+        upto = (np.searchsorted(at, ends) + 1).tolist()
+        return [b"".join(found[a:b]) if b - a > 1 else found[a] for a, b in zip([0, *upto], upto, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of whole texts, as little-endian 32-bit integers."""
@@ -201,7 +264,7 @@ class Encoder:
         words = {w for s in split for w in s}
         words.discard("")
         self.learn(words)
-        get, out = self.words.__getitem__, []
+        get, out = self.words.of.__getitem__, []
         for t, s in zip(texts, split, strict=True):
             out.append(b"".join(map(get, s)) if "" not in s else self._spaced(" " + t))
         return out
@@ -216,10 +279,10 @@ class Encoder:
             if not rest:
                 out.append(runs(n))
                 continue
-            ids = self.words.get(rest)
+            ids = self.words.of.get(rest)
             if ids is None:
                 self.learn({rest})
-                ids = self.words[rest]
+                ids = self.words.of[rest]
             if n > 1 and int.from_bytes(ids[:4], "little") == bare:
                 out.append(runs(n) + ids[4:])
             else:
