@@ -8,10 +8,13 @@ commit protocol guards against lost executors and any store works; files of high
 
 Reading goes group by group, so memory is bounded by GROUP ids or one document. ``read_slice`` finds ids by the index.
 
-The tokenizer is the library; words that come again are kept (MOST_WORDS of them), and new ones go to its merges part by
-part. Texts with characters for which that has not been shown equal are given to it whole.
+The tokenizer is the library; parts of words that come again are kept (up to a size in bytes), and new ones go to its merges. Texts with characters for which that has not been shown equal are given to it whole.
 
-Defined results: null text has the end id alone; null doc_ids come first; equal doc_ids are ordered by a hash of the text.
+The number of files follows the planner's size of the input (FILE_BYTES of it each), so a file stays far below the 2 GB that
+can be read at once; writing fails, and does not leave what can't be read, where one would pass MOST_FILE.
+
+Defined results: null text has the end id alone; null doc_ids come first; equal doc_ids are ordered by a hash of the text;
+repeated rows each give their row; an empty table gives no rows; columns but doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL, END_ID = "word_bpe_49k.json", 2
-BLOCK, GROUP, MOST_WORDS = 1 << 15, 1 << 19, 1 << 20
+BLOCK, GROUP = 1 << 15, 1 << 19
+#: Estimates without statistics are huge, so the number of files has a border.
+FILE_BYTES, MOST_FILE, MOST_FILES = 64 << 20, 2_000_000_000, 1 << 20
 PERCENTILES = (100, 99, 97, 95, 90)
 
 # letters, digits and others up to U+017F in the tokenizer's own parting of words
@@ -54,33 +59,28 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.parts = common.Kept(128 << 20)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """ids of a word without white space: its parts go to the library's merges at once, past its normaliser and splitter."""
-        ids = []
-        for part in _PARTS.findall(word):
-            if not part.isascii():
-                part = part.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(part)]
+    def part(self, part: str) -> bytes:
+        """ids of a part of a word, from the library's merges at once, past its normaliser and splitter."""
+        told = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(told)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
-            new = list(words)
-        self.words.update((w, self.word(w)) for w in new)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if _ODD.search(t) else t.lower().split() for t in texts]
-        self.learn({w for s in split if s for w in s})
-        get = self.words.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        split = [None if _ODD.search(t) else _PARTS.findall(t.lower()) for t in texts]
+        parts = {p for s in split if s for p in s}
+        kept = self.parts.of
+        fresh = [p for p in parts if p not in kept]
+        if self.parts.make_room(sum(map(len, fresh)) * 8 + 160 * len(fresh)):
+            fresh = list(parts)
+        for p in fresh:
+            self.parts.put(p, self.part(p))
+        return [self.whole(t) if s is None else b"".join(map(kept.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 _made: dict[str, WordTokenizer] = {}
@@ -176,6 +176,8 @@ class FileWriter:
     def _out(self, kind: bytes, data: bytes) -> bytes:
         r = _record(kind, data)
         self.at += len(r) + 1  # and the newline
+        if self.at > MOST_FILE:
+            raise ValueError("a token file grows past what can be read at once: write more files")
         return r
 
     def group(self, doc_ids: list[int | None], tokens: list[bytes]) -> Iterator[bytes]:
@@ -269,7 +271,9 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = END_ID) -
             yield pa.RecordBatch.from_arrays([pa.array([writer.index()], pa.binary())], ["value"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    x = x.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
+    x = x.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     x.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\n")
 
 
