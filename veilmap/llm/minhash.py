@@ -324,11 +324,11 @@ def closed(members: DataFrame, comp: DataFrame, texts: DataFrame, idf: np.ndarra
     parts = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.sum("n") / BLOCK_DOCS, F.sum("chars") / BLOCK_CHARS))).cast("int")
     mains = common.materialise(parts.groupBy("grp").agg(F.max(F.struct("n", "comp"))["comp"].alias("main")), "dedup-mains")
-    sides = common.materialise(parts.join(mains, "grp").groupBy("grp", (F.col("comp") == F.col("main")).alias("is_main"), "main").agg(blocks.alias("nb")), "dedup-sides")
+    sides = common.materialise(parts.join(mains.hint("merge"), "grp").groupBy("grp", (F.col("comp") == F.col("main")).alias("is_main"), "main").agg(blocks.alias("nb")), "dedup-sides")
     wide = sides.groupBy("grp", "main").agg(F.max(F.when(F.col("is_main"), F.col("nb"))).alias("nm"), F.max(F.when(~F.col("is_main"), F.col("nb"))).alias("no")).where("no is not null")
     # a group may hold a third of all rows: its rows meet the sizes in SALTS places
     wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    x = rows.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS))).join(wide, ["grp", "salt"]).withColumn("is_main", F.col("comp") == F.col("main"))
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS))).join(wide.hint("merge"), ["grp", "salt"]).withColumn("is_main", F.col("comp") == F.col("main"))
     x = x.withColumn("b", F.pmod(F.xxhash64("fp"), F.when(F.col("is_main"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
     own = "struct(cast({} as int) as i, cast({} as int) as t)"
     cells = f"""if(is_main, transform(sequence(0, no - 1), i -> {own.format("i", "no + b")}),
