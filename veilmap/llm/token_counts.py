@@ -1,45 +1,81 @@
 """Token counts by finite-state tokenizer compilation.
 
-The model is compiled into a deterministic transducer over characters whose transitions carry the number of tokens that
-reading the character adds to the count of the word so far (a merge makes it zero or less). Its states are what decides
-all later counts: the longest end of the word that can still grow into a piece and, at each place in it, the last piece
-of the text before and the count there. There are finitely many; they are determinised when first met and kept, up to
-MOST_STATES, then compiled anew, so memory is bounded on any corpus.
-
-A long text is cut into chunks of CHUNK characters anywhere. A chunk's map of states is fixed by what it adds between
-its first and last word border, and by the open ends; maps compose associatively, so they are combined by a parallel
-prefix scan (pairwise, in log2 rounds), and no text is cut short.
+The model is compiled into a deterministic transducer over classes of characters. Each transition is annotated with the number of tokens that
+reading the character adds to the count so far (a merge makes it zero or less). A state is what decides all later counts: the
+longest end of the text that can still grow into a piece and, at each place in it, the last piece of the text before and the
+count there. Where no piece holds two characters side by side, the second is read from the start state, whatever came before.
+Transitions are compiled when first met and kept in tables, up to MOST_STATES states, then anew, so memory is bounded on any corpus.
+
+Texts are cut into chunks of CHUNK characters anywhere. A chunk's map takes the state that it is entered in to the state that it
+is left in and to a count: one row for all entries from its first border on, and rows for the entries that come before it. All
+chunks of a batch are walked in step, a character of each at a time. Maps compose by a scan: chunks with a border are left in
+one state whatever they are entered in, so the rows of all chunks after them are made at once, and further rounds are only
+needed for chunks without any border; counts are then prefix sums over each text's chunks.
+
+The model keeps runs of spaces by their length alone, so a run is read as one space and its own pieces are put in.
+
+Defined results: null text is empty, with no byte and no token; equal texts and repeated rows each give their row; an empty
+table gives no rows; columns but doc_id and text are left out.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, common
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
-CHUNK, MOST_STATES, MOST_WORDS = 1 << 16, 400_000, 1 << 18
-_RUNS = re.compile(r" *[^ ]+| +")
+CHUNK, MOST_STATES, PORTION = 256, 400_000, 1 << 21
+_SPACES = re.compile(" {2,}")
+_FIB = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Alphabet:
+    """Classes of characters: one per character that pieces hold, and others by their bytes; and which may share a piece."""
+
+    def __init__(self, pieces: bpe.Pieces):
+        self.chars = sorted({c for p in pieces.parts for c in p})
+        n = len(self.chars)
+        self.kind = np.full(0x110000, n + 3, np.uint16)
+        self.kind[:0x10000], self.kind[:0x800], self.kind[:0x80] = n + 2, n + 1, n
+        self.kind[[ord(c) for c in self.chars]] = np.arange(n)
+        self.kind[ord(" ")] = self.kind[ord(bpe.SPACE)]
+        self.meets = np.zeros((n + 4, n + 4), bool)
+        for a, b in {p[i : i + 2] for p in pieces.parts for i in range(len(p) - 1)}:
+            self.meets[self.kind[ord(a)], self.kind[ord(b)]] = True
+
+    def classes(self, text: str) -> np.ndarray:
+        return self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def borders(self, classes: np.ndarray) -> np.ndarray:
+        """Where a character is read from the start state."""
+        out = np.ones(len(classes), bool)
+        out[1:] = ~self.meets[classes[:-1], classes[1:]]
+        return out
 
 
 class Transducer:
-    """Counts tokens of words that begin with one space at most."""
+    """The compiled states and transitions; state 0 is the start."""
 
     def __init__(self, path: str):
         self.pieces = bpe.load(path)
         self.path = path
+        self.alphabet = Alphabet(self.pieces)
         self.prefixes = {p[:n] for p in self.pieces.parts for n in range(1, len(p))}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.states: list[tuple] = []
-        self.next: list[dict[str, tuple[int, int]]] = []
         self.index: dict[tuple, int] = {}
+        self.size, bits = 0, 16
+        self.shift = np.uint64(64 - bits)
+        self.key, self.to, self.adds = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self._state("", ((None, 0),))
 
     def _state(self, window: str, marks: tuple) -> int:
@@ -49,7 +85,6 @@ class Transducer:
         if at is None:
             at = self.index[key] = len(self.states)
             self.states.append(key)
-            self.next.append({})
         return at
 
     def _holds(self, u: str | None, v: str) -> bool:
@@ -62,117 +97,141 @@ class Transducer:
             got = self.pairs[u, v] = self.pieces.holds(u, v)
         return got
 
-    def step(self, at: int, ch: str) -> tuple[int, int]:
-        """Compile the transition of state at on ch: (state, tokens added)."""
-        window, marks = self.states[at]
-        if ch not in self.pieces.parts:  # bytes; nothing merges over them
-            to, added = self._state("", ((None, 0),)), len(ch.encode("utf-8", "surrogatepass"))
-        else:
-            grown = window + ch
-            last, count = next((grown[j:], marks[j][1] + 1) for j in range(len(grown)) if grown[j:] in self.pieces.parts and self._holds(marks[j][0], grown[j:]))
-            marks = (*marks, (last, count))
-            keep = next((j for j in range(len(grown)) if grown[j:] in self.prefixes), len(grown))
-            to, added = self._state(grown[keep:], tuple((p, c - count) for p, c in marks[keep:])), count
-        self.next[at][ch] = (to, added)
-        return to, added
-
-    def word(self, word: str) -> int:
-        """Tokens of a word in which each space stands as the model's space sign."""
+    def step(self, state: int, kind: int) -> tuple[int, int]:
+        """Compile a transition: (state, tokens added)."""
+        if kind >= len(self.alphabet.chars):  # bytes; nothing merges over them
+            return 0, kind - len(self.alphabet.chars) + 1
+        window, marks = self.states[state]
+        grown = window + self.alphabet.chars[kind]
+        last, count = next((grown[j:], marks[j][1] + 1) for j in range(len(grown)) if grown[j:] in self.pieces.parts and self._holds(marks[j][0], grown[j:]))
+        marks = (*marks, (last, count))
+        keep = next((j for j in range(len(grown)) if grown[j:] in self.prefixes), len(grown))
+        return self._state(grown[keep:], tuple((p, c - count) for p, c in marks[keep:])), count
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, found) of each key: where it is, or the free slot where it belongs."""
+        last = len(self.key) - 1
+        slot = (keys.astype(np.uint64) * _FIB >> self.shift).astype(np.int64)
+        held = self.key[slot]
+        found = held == keys
+        left = np.flatnonzero(~found & (held != -1))
+        while len(left):
+            slot[left] = (slot[left] + 1) & last
+            held = self.key[slot[left]]
+            found[left] = held == keys[left]
+            left = left[~found[left] & (held != -1)]
+        return slot, found
+
+    def _put(self, keys: np.ndarray, to: np.ndarray, adds: np.ndarray) -> None:
+        if 2 * (self.size + len(keys)) > len(self.key):
+            full = self.key != -1
+            keys, to, adds = (np.concatenate([a[full], b]) for a, b in ((self.key, keys), (self.to, to), (self.adds, adds)))
+            bits = (4 * len(keys)).bit_length()
+            self.shift, self.size = np.uint64(64 - bits), 0
+            self.key, self.to, self.adds = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.size += len(keys)
+        while len(keys):
+            slot, _ = self._slots(keys)
+            self.key[slot] = keys  # of keys that meet in a slot the last one stays, the others go on
+            won = self.key[slot] == keys
+            self.to[slot[won]], self.adds[slot[won]] = to[won], adds[won]
+            keys, to, adds = keys[~won], to[~won], adds[~won]
+
+    def read(self, state: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, tokens added) of reading one character in each state."""
+        keys = state.astype(np.int64) << 16 | kind
+        slot, found = self._slots(keys)
+        if not found.all():
+            new = np.unique(keys[~found])
+            made = [self.step(k >> 16, k & 0xFFFF) for k in new.tolist()]
+            self._put(new, np.array([m[0] for m in made], np.int32), np.array([m[1] for m in made], np.int32))
+            slot, _ = self._slots(keys)
+        return self.to[slot], self.adds[slot]
+
+    def walk(self, kinds: np.ndarray, border: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state at the end, tokens) of the spans [begin, end), each entered in its state; all spans go on in step."""
+        order = np.argsort(begin - end, kind="stable")
+        at, state, total = begin[order], entry[order].astype(np.int32), np.zeros(len(order), np.int64)
+        size = (end - begin)[order]
+        ends = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+        for t, n in enumerate(ends.tolist()):  # the spans of more than t characters come first
+            i = at[:n] + t
+            state[:n], added = self.read(np.where(border[i], 0, state[:n]), kinds[i])
+            total[:n] += added
+        out_state, out_total = np.empty_like(state), np.empty_like(total)
+        out_state[order], out_total[order] = state, total
+        return out_state, out_total
+
+    def _first_is_space(self, rest: str) -> bool:
+        """Whether the model leaves the space before rest as a piece of its own."""
+        from .lattice import encoder
+
+        kinds = self.alphabet.classes(bpe.SPACE + rest)
+        cut = np.flatnonzero(self.alphabet.borders(kinds)[1:])
+        return encoder(self.path).word_ids([(bpe.SPACE + rest)[: int(cut[0]) + 1 if len(cut) else None]])[0][0] == self.pieces.id[bpe.SPACE]
+
+    def _single_spaced(self, text: str) -> tuple[str, int]:
+        """(the text with one space for each run, tokens that the runs have beyond that)."""
+        more = 0
+        for m in _SPACES.finditer(text):
+            n, after = m.end() - m.start(), text.find(" ", m.end())
+            rest = text[m.end() : after if after >= 0 else None]
+            whole = not rest or self._first_is_space(rest)  # else the last space goes to the word
+            more += _run_size(self.path, n) - 1 if whole else _run_size(self.path, n - 1)
+        return _SPACES.sub(" ", text), more
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts as the library gives them."""
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):  # some MB at a time
+            size += len(t)
+            if size >= PORTION or i + 1 == len(texts):
+                out += self._count(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _count(self, texts: list[str]) -> list[int]:
         if len(self.states) > MOST_STATES:
             self.clear()
-        at = total = 0
-        for ch in word:
-            got = self.next[at].get(ch)
-            at, added = got if got else self.step(at, ch)
-            total += added
-        return total
-
-    def count_word(self, rest: str) -> int:
-        """Tokens of a space and rest, kept for words that come again."""
-        got = self.words.get(rest)
-        if got is None:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            got = self.words[rest] = self.word(bpe.SPACE + rest)
-        return got
-
-    def spaced(self, text: str) -> int:
-        """Tokens of any text, spaces as they are."""
-        total = 0
-        for m in _RUNS.findall(text):
-            rest = m.lstrip(" ")
-            n = len(m) - len(rest)
-            if not rest:
-                total += len(bpe.run_ids(self.path, n))
-            elif n == 0:
-                total += self.word(rest)
-            elif n == 1:
-                total += self.count_word(rest)
-            else:  # the last space goes to the word, or stays in the run if the word leaves it alone
-                from .lattice import encoder
-
-                first = encoder(self.path).word_ids([bpe.SPACE + rest])[0][0]
-                bare = first == self.pieces.id[bpe.SPACE]
-                total += self.count_word(rest) - bare + len(bpe.run_ids(self.path, n - 1 + bare))
-        return total
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(open head, tokens between, open tail); None where the chunk holds no border (head is all of it)."""
-        # a border stands before a space that follows something else
-        cut = [m.start() + 1 for m in (_FIRST.search(chunk),) if m]
-        if not cut:
-            return chunk, None, ""
-        last = _last_border(chunk)
-        return chunk[: cut[0]], self._between(chunk[cut[0] : last]), chunk[last:]
-
-    def _between(self, text: str) -> int:
-        if not text:
-            return 0
-        if text[0] == " " and "  " not in text:
-            words = text[1:].split(" ")
-            get = self.words.get
-            return sum(n if (n := get(w)) is not None else self.count_word(w) for w in words)
-        return self.spaced(text)
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a chunk and the one after it."""
-        if a[1] is None and b[1] is None:
-            return self.chunk_map(a[0] + b[0])
-        if a[1] is None:
-            h = self.chunk_map(a[0] + b[0])
-            return (h[0], h[1] + self._between(h[2]) + b[1], b[2]) if h[1] is not None else (h[0], b[1], b[2])
-        if b[1] is None:
-            t = self.chunk_map(a[2] + b[0])
-            return (a[0], a[1] + self._between(t[0]) + t[1], t[2]) if t[1] is not None else (a[0], a[1], t[0])
-        return a[0], a[1] + self._between(a[2] + b[0]) + b[1], b[2]
-
-    def count(self, text: str) -> int:
-        """Tokens of a whole text as the library gives them."""
-        if not text:
-            return 0
-        text = " " + text.replace(bpe.SPACE, " ")  # to the model both are one sign
-        if len(text) <= CHUNK:
-            return self._between(text)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, inner, tail = maps[0]
-        return self._between(head) + (0 if inner is None else inner + self._between(tail))
-
-
-_FIRST = re.compile(r"[^ ] ")
-
-
-def _last_border(chunk: str) -> int:
-    """Where the last run of spaces that follows something else begins."""
-    end = len(chunk)
-    while True:
-        i = chunk.rfind(" ", 0, end)
-        while i > 0 and chunk[i - 1] == " ":
-            i -= 1
-        if i > 0:
-            return i
-        raise ValueError("no border")
+        full = [" " + t.replace(bpe.SPACE, " ") if t else "" for t in texts]  # to the model both are one sign
+        more = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(full):
+            if "  " in t:
+                full[i], more[i] = self._single_spaced(t)
+        size = np.array([len(t) for t in full], np.int64)
+        kinds = self.alphabet.classes("".join(full))
+        border = self.alphabet.borders(kinds)
+        start = np.cumsum(size) - size
+        border[start[size > 0]] = True
+        # chunks of each text, in order
+        n = -(-size // CHUNK)
+        text = np.repeat(np.arange(len(texts)), n)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        begin = start[text] + number * CHUNK
+        end = np.minimum(begin + CHUNK, (start + size)[text])
+        # the map from the first border on: one row for all entries
+        at = np.flatnonzero(border)
+        mark = np.searchsorted(at, begin)
+        first = np.where(mark < len(at), at[np.minimum(mark, len(at) - 1)], len(kinds)) if len(at) else end
+        first = np.minimum(first, end)
+        left, tokens = self.walk(kinds, border, first, end, np.zeros(len(text), np.int32))
+        # the rows before it, for the entries that come: where a chunk has no border, its end is known one round after the one before
+        known, todo = first < end, np.flatnonzero(first > begin)
+        while len(todo):
+            ready = known[todo - 1]
+            now, todo = todo[ready], todo[~ready]
+            exits, added = self.walk(kinds, border, begin[now], first[now], left[now - 1])
+            tokens[now] += added
+            left[now] = np.where(known[now], left[now], exits)
+            known[now] = True
+        upto = np.concatenate([[0], np.cumsum(tokens)])
+        last = np.cumsum(n)
+        return (upto[last] - upto[last - n] + more).tolist()
+
+
+@lru_cache(maxsize=10_000)
+def _run_size(path: str, n: int) -> int:
+    return len(bpe.run_ids(path, n))
 
 
 _made: dict[str, Transducer] = {}
@@ -185,14 +244,14 @@ def transducer(path: str) -> Transducer:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit. Null text is empty: no byte, no token."""
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit."""
     common.prepare(docs.sparkSession)
 
     def run(batches):
         t = transducer(path)
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
-            n = [t.count(x) for x in texts]
+            n = t.count(texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_tokens bigint, over_limit boolean")
