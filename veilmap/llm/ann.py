@@ -1,29 +1,38 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a sample of SAMPLE vectors (those of smallest hash; a documented bound) the neighbour graph is cut into PARTS balanced
+On a sample of at most SAMPLE vectors (those of smallest hash; a documented bound) the neighbour graph is cut into balanced
 parts, a small softmax classifier learns the parts of a vector's neighbours, and queries of the sample that it has not
-seen choose how many parts a query must visit for RECALL. Then every row of the table is indexed in its most probable
-part, and a query visits its most probable ones, whose rows are reranked by exact inner product.
+seen choose how many parts a query must visit for RECALL. There is a part for every PART_ROWS rows of the table, as far as
+the sample can tell parts apart. Then every row of the table is indexed in its most probable part, and a query visits its
+most probable ones, whose rows are reranked by exact inner product. Queries for which these parts held fewer than k rows
+are searched again in all parts.
+
+Vectors of different lengths never meet. Each length with LEAST_SAMPLE rows in the sample has its own classifier; the
+vectors of any other length are one part, searched whole.
 
 A part is stored in blocks of about BLOCK rows, so a part with a third of all rows is many blocks; queries are sent to
 blocks in blocks. On vectors without clusters many parts must be visited to find 9 of 10 neighbours; the number follows
 from the sample and is not a constant.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-without id; vectors of another length than the sample's are compared with none; rows with the query's id are its own;
-a query row that is repeated is one query.
+without id; rows with the query's id are its own; a query row that is repeated is one query, a candidate row that is
+repeated is a candidate each time; equal scores go to the smaller vec_id; an empty table gives an empty result; columns but
+vec_id and embedding are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, vectors
 
-SAMPLE, PARTS, RECALL, K, EVERY = 4096, 32, 0.96, 20, 20
+SAMPLE, PART_ROWS, RECALL, K, EVERY = 8192, 1024, 0.96, 20, 20
+#: Sample rows that a part needs at least, and those from which on a length has a classifier.
+PART_SAMPLE, LEAST_SAMPLE = 64, 256
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -95,13 +104,13 @@ def fit_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, s
 class Router:
     """The classifier and the number of parts that a query visits."""
 
-    def __init__(self, x: np.ndarray, parts: int = PARTS, k: int = K, recall: float = RECALL, seed: int = 3):
+    def __init__(self, x: np.ndarray, parts: int, k: int = K, recall: float = RECALL, seed: int = 3):
         rng = np.random.default_rng(seed)
         x = x.astype(np.float64)
         self.norm = float(np.median(np.linalg.norm(x, axis=1))) or 1.0
         x = x / self.norm
         self.dim, n = x.shape[1], len(x)
-        self.parts = max(1, min(parts, n // 64))
+        self.parts = max(1, min(parts, n // PART_SAMPLE))
         apart = rng.choice(n, min(256, n // 5), replace=False)
         rest = np.setdiff1d(np.arange(n), apart)
         if self.parts == 1 or not len(apart):
@@ -128,52 +137,65 @@ class Router:
         return np.argsort(-z, axis=1, kind="stable")[:, :m]
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, **settings) -> Router | None:
-    """A router fitted on at most sample rows; None for an empty table."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not got:
-        return None
-    sizes = np.array([len(r["v"]) for r in got])
-    width = int(np.bincount(sizes).argmax())
-    return Router(np.array([r["v"] for r in got if len(r["v"]) == width]), **settings)
+def fit(rows: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS, **settings) -> dict[int, Router]:
+    """Routers by vector length, fitted on at most sample rows. rows: a written table of vec_id, v."""
+    total = rows.count()
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    out = {}
+    for n, x in vectors.by_length(got).items():
+        if len(x) >= LEAST_SAMPLE:
+            # the length's share of the sample is taken as its share of the table
+            out[n] = Router(x, max(1, round(total * len(x) / len(got) / part_rows)), **settings)
+    return out
 
 
-def routed(rows: DataFrame, router: Router, visit: int) -> DataFrame:
-    """rows (vec_id, v) once for each of the visit most probable parts."""
-    shared = rows.sparkSession.sparkContext.broadcast(router)
+def routed(rows: DataFrame, routers: dict[int, Router], visit: int | None) -> DataFrame:
+    """rows (vec_id, v) once for each of their visit most probable parts, with dim and part; None: as many as a query visits."""
+    shared = rows.sparkSession.sparkContext.broadcast(routers)
 
     def run(batches):
         for b in batches:
-            r, v = shared.value, b.column("v")
-            v = v.filter(pa.compute.equal(pa.compute.list_value_length(v), r.dim))
-            ids = b.column("vec_id").filter(pa.compute.equal(pa.compute.list_value_length(b.column("v")), r.dim))
-            if not len(v):
-                continue
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, r.dim)
-            p = r.route(x, visit)
-            at = pa.array(np.repeat(np.arange(len(x)), p.shape[1]))
-            yield pa.RecordBatch.from_arrays([ids.take(at), v.take(at), pa.array(p.ravel(), pa.int32())], ["vec_id", "v", "part"])
-
-    import pyarrow.compute  # noqa: F401
-
-    return rows.mapInArrow(run, f"vec_id bigint, v {rows.schema['v'].dataType.simpleString()}, part int")
-
-
-def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
+            size = pc.list_value_length(b.column("v"))
+            for n in pc.unique(size).to_pylist():
+                own = b.filter(pc.equal(size, n))
+                r = shared.value.get(n)
+                if r is None:
+                    p = np.zeros((own.num_rows, 1), np.int64)
+                else:
+                    x = own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    p = r.route(x, r.visit if visit is None else visit)
+                at = pa.array(np.repeat(np.arange(len(p)), p.shape[1]))
+                got = own.take(at)
+                yield pa.RecordBatch.from_arrays([got.column("vec_id"), got.column("v"), pa.array(np.full(len(at), n), pa.int32()), pa.array(p.ravel(), pa.int32())], ["vec_id", "v", "dim", "part"])
+
+    return rows.mapInArrow(run, f"vec_id bigint, v {rows.schema['v'].dataType.simpleString()}, dim int, part int")
+
+
+def nearest(rows: DataFrame, is_query, k: int = K, **settings) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found to each row for which is_query holds."""
     spark = rows.sparkSession
     common.prepare(spark)
     x = common.materialise(vectors.usable(rows).where(F.exists("v", lambda a: a != 0)), "ann-rows")
-    router = fit(x)
-    if router is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index, n = vectors.with_blocks(common.materialise(routed(x, router, 1), "ann-parts"), ["part"], vectors.BLOCK, "block")
-    items = vectors.packed(index, ["part", "block"], "items")
-    asked = common.materialise(routed(x.where(is_query).dropDuplicates(["vec_id", "v"]), router, router.visit), "ann-queries")
-    blocks, _ = vectors.with_blocks(asked, ["part"], vectors.QUERIES, "qblock")
-    sent = vectors.packed(blocks, ["part", "qblock"], "queries").join(n, "part").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    pairs = sent.join(items, ["part", "block"]).select("queries", "items")
-    return vectors.best(vectors.search(pairs, lambda *a: vectors.top_of_block(*a, k), "double"), k)
+    routers = fit(x, **settings)
+    cell = ["dim", "part"]
+    index, n = vectors.with_blocks(common.materialise(routed(x, routers, 1), "ann-parts"), cell, vectors.BLOCK, "block")
+    items = common.materialise(vectors.packed(index, [*cell, "block"], "items"), "ann-items")
+    n = common.materialise(n, "ann-blocks")
+    asked = common.materialise(x.where(is_query).dropDuplicates(["vec_id", "v"]), "ann-queries")
+
+    def found(queries: DataFrame, visit: int | None) -> DataFrame:
+        blocks, _ = vectors.with_blocks(common.materialise(routed(queries, routers, visit), "ann-sent"), cell, vectors.QUERIES, "qblock")
+        sent = vectors.packed(blocks, [*cell, "qblock"], "queries").join(n, cell).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        pairs = sent.join(items, [*cell, "block"]).select("queries", "items")
+        return common.materialise(vectors.best(vectors.search(pairs, lambda *a: vectors.top_of_block(*a, k), "double"), k), "ann-found")
+
+    first = found(asked, None)
+    full = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = common.materialise(asked.join(full.hint("merge"), "vec_id", "left_anti"), "ann-short")
+    if short.isEmpty():
+        return first
+    again = found(short, max((r.parts for r in routers.values()), default=1))
+    return first.join(short.select(F.col("vec_id").alias("query_id")).distinct().hint("merge"), "query_id", "left_anti").unionByName(again)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

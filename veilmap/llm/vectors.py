@@ -34,6 +34,14 @@ def packed(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("vec_id", "v")).alias(out))
 
 
+def by_length(v: pa.Array) -> dict[int, np.ndarray]:
+    """The vectors of a list column that holds no nulls, by number of components."""
+    size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    where = np.repeat(size, size)
+    return {int(n): flat[where == n].reshape(-1, n) for n in np.unique(size) if n}
+
+
 def matrices(items: pa.Array, i: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of row i of a packed column, by number of components."""
     s = items[i].values
