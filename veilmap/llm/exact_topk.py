@@ -1,13 +1,15 @@
 """Exact top-k inner products by norm buckets.
 
 Rows are grouped by length into buckets (quantiles of length), and buckets into blocks of bounded size. A few blocks of the longest
-rows give every query a lower bound of its k-th score. For a bucket, that bound over the product of both lengths is the cosine
-that a row must reach: above 1 the query skips the bucket; at COORD or more rows are pruned by the feasible range of the
+rows give every query a lower bound of its k-th score. That bound over the query's length is the least length of a row that can
+reach it, so a block of queries is joined only with buckets that hold such rows, and nothing else is shipped. In a bucket, the bound
+over the product of both lengths is the cosine that a row must reach: above 1 the query skips the bucket; at COORD or more rows are pruned by the feasible range of the
 query's largest coordinates; below it, by length alone. Products of what is left are verified in whole numbers.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id; rows
 of another length in components are not compared; rows with the query's id are its own; equal scores go to the smaller
-vec_id. Scores are exact while they fit in 64 bits.
+vec_id; a query row that is repeated is one query, a candidate row that is repeated is a candidate each time; an empty table
+gives an empty result; columns but vec_id and embedding are left out. Scores are exact while they fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -104,26 +106,36 @@ def top_products(rows: DataFrame, is_query, k: int = K, scale: float = SCALE) ->
     bucket = F.lit(0)
     if cuts:
         bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("size")))
-    x = common.materialise(x.select("vec_id", "v", bucket.alias("bucket")), "topk-buckets")
-    index, n_blocks = vectors.with_blocks(x, ["bucket"], vectors.BLOCK, "block")
+    x = common.materialise(x.select("vec_id", "v", "size", bucket.alias("bucket")), "topk-buckets")
+    # a row per bucket, MOST_BUCKETS at most
+    longest = x.groupBy("bucket").agg(F.max("size").alias("longest")).orderBy("bucket").collect()
+    index, n_blocks = vectors.with_blocks(x.select("vec_id", "v", "bucket"), ["bucket"], vectors.BLOCK, "block")
     items = common.materialise(vectors.packed(index, ["bucket", "block"], "items"), "topk-items")
-    asked = x.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id", "v"])
+    asked = x.where(is_query).select("vec_id", "v", "size").dropDuplicates(["vec_id", "v"])
     groups = max(1, -(-asked.count() // vectors.QUERIES))
-    sent = common.materialise(vectors.packed(asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(groups))), ["qblock"], "queries"), "topk-queries")
-    cells = n_blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    first = items.select("bucket", "block").orderBy("bucket", "block").limit(2)
-    every = sent.select("qblock").withColumn("one", F.lit(1))
+    asked = common.materialise(asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(groups))), "topk-asked")
+    sent = common.materialise(vectors.packed(asked, ["qblock"], "queries"), "topk-queries")
+    n_blocks = common.materialise(n_blocks, "topk-blocks")
 
-    def against(where: DataFrame) -> DataFrame:
-        # the stated query set in blocks, each once for each block of rows
-        names = where.withColumn("one", F.lit(1)).join(every, "one").drop("one")
-        return names.join(sent, "qblock").join(items, ["bucket", "block"])
+    def against(blocks: DataFrame, some: int | None) -> DataFrame:
+        # blocks: qblock, queries, [bounds,] upto (buckets that its queries need); each meets each block of those buckets once
+        cells = blocks.select("qblock", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("bucket")).join(n_blocks, "bucket")
+        cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("blocks"), F.lit(some or (1 << 30))).cast("long") - 1))).drop("blocks")
+        return cells.join(blocks.drop("upto"), "qblock").join(items, ["bucket", "block"])
 
-    seeds = vectors.best(vectors.search(against(first).select("queries", "items"), lambda *a: block_topk(*a, None, k), "bigint"), k)
+    seeds = vectors.best(vectors.search(against(sent.withColumn("upto", F.lit(1)), 2).select("queries", "items"), lambda *a: block_topk(*a, None, k), "bigint"), k)
     bound = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("b"))
-    per = asked.select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("qblock")).join(bound, "vec_id").groupBy("qblock").agg(F.map_from_entries(F.collect_set(F.struct("vec_id", "b"))).alias("bounds"))
-    sent = common.materialise(sent.join(per, "qblock", "left"), "topk-bounded")
-    pairs = against(cells).repartition("qblock", "bucket", "block").select("queries", "items", "bounds")
+    per = asked.join(bound, "vec_id", "left").withColumn("need", F.when(F.col("size") > 0, F.col("b") / F.col("size")))
+    per = per.groupBy("qblock").agg(
+        F.map_from_entries(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("vec_id", "b")))).alias("bounds"),
+        F.min(F.coalesce("need", F.lit(float("-inf")))).alias("need"),
+    )
+    reach = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["longest"]).alias("longest")) for r in longest]) if longest else None
+    upto = F.lit(1)
+    if longest:
+        upto = F.coalesce(F.array_max(F.transform(F.filter(reach, lambda r: r["longest"] * (1 + 1e-9) >= F.col("need")), lambda r: r["bucket"])), F.lit(0)) + 1
+    sent = common.materialise(sent.join(per.withColumn("upto", upto).drop("need"), "qblock"), "topk-bounded")
+    pairs = against(sent, None).repartition("qblock", "bucket", "block").select("queries", "items", "bounds")
     found = vectors.search(pairs, lambda a, b, c, d, e: block_topk(a, b, c, d, dict(e or []), k), "bigint")
     return vectors.best(found, k)
 
