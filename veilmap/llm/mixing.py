@@ -107,7 +107,8 @@ def copies(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     most_items = items.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     chunks = max(1, -(-int(most_items) // CHUNK))
     fractions = split.select("source", "id", F.col("size").cast("double").alias("s"), "p", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(chunks)).alias("chunk"))
-    ups = pivotal(fractions, chunks, seed).where("up").select("id", F.lit(1).alias("up"))
+    # one row per id: should two ids be equal, a rounding may move, but no row is repeated
+    ups = pivotal(fractions, chunks, seed).where("up").groupBy("id").agg(F.max(F.lit(1)).alias("up"))
     return x.join(ups, "id", "left").select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "m", (F.col("whole") + F.coalesce("up", F.lit(0))).cast("long").alias("n"))
 
 
@@ -126,7 +127,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     key = docs["doc_id"].eqNullSafe(x["mix_id"]) & docs["source"].eqNullSafe(x["mix_source"]) & (common.n_words(docs["text"]) == x["mix_size"])
     got = docs.join(x, key)
     once = got.where("mix_m = 1").withColumn("mix_take", F.col("mix_n"))
-    # only rows that share doc_id, source and size need a number among themselves
-    number = F.row_number().over(Window.partitionBy("mix_id", "mix_source", "mix_size").orderBy("text"))
-    many = got.where("mix_m > 1").withColumn("mix_take", F.floor(F.col("mix_n") / F.col("mix_m")) + F.when(number <= F.pmod("mix_n", "mix_m"), 1).otherwise(0))
+    # rows that share doc_id, source and size are numbered; equal ones are one row with a count first, so none of them is hot
+    equal = got.where("mix_m > 1").groupBy(*[docs[c] for c in docs.columns], "mix_id", "mix_source", "mix_size", "mix_m", "mix_n").agg(F.count(F.lit(1)).alias("mix_equal"))
+    upto = F.sum("mix_equal").over(Window.partitionBy("mix_id", "mix_source", "mix_size").orderBy(*[F.xxhash64(*docs.columns), *docs.columns]).rowsBetween(Window.unboundedPreceding, 0))
+    more = F.least(F.greatest(F.pmod("mix_n", "mix_m") - upto + F.col("mix_equal"), F.lit(0)), F.col("mix_equal"))
+    many = equal.withColumn("mix_take", F.col("mix_equal") * F.floor(F.col("mix_n") / F.col("mix_m")) + more).drop("mix_equal")
     return once.unionByName(many).where("mix_take > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_take")))).select(*[docs[c] for c in docs.columns])
