@@ -6,12 +6,14 @@ Embeddings are kept for features of at least MIN_DOCS training documents, in a h
 words count as zero. The first dimension starts as the feature's smoothed log odds in the training rows, the rest small;
 filters, embeddings and output are then trained by Adam. Gradients flow through the places that win the pooling only.
 
-Training reads at most TRAIN_ROWS labelled documents, those of smallest hash (a documented bound; scoring reads every
-whole text). Language, source and id are no inputs of the score. Thresholds per language come from labelled rows that
-training left out (one in CALIBRATE), where there are enough of them; they are used by ``reject``, not by the score.
+Training reads at most TRAIN_ROWS labelled documents, those of smallest hash, and of these whole texts up to TRAIN_CHARS
+characters together, none longer than a 64th of that (documented bounds of the sample; scoring reads every whole text). Rows that
+repeat a doc_id are one. Language, source and id are no inputs of the score. Thresholds per language come from one labelled row
+in CALIBRATE, scored by a second model that has not seen them; they are used by ``reject``, not by the score.
 
 Defined results: null and empty texts, and texts without words, get the score of no evidence; null labels are no labels;
-without labels of both kinds every score is 0.
+without labels of both kinds every score is 0; repeated rows each give their row; an empty table gives no rows; ``reject`` keeps all
+columns.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_ROWS, MIN_DOCS, CALIBRATE = 6000, 3, 5
+TRAIN_ROWS, TRAIN_CHARS, MIN_DOCS, CALIBRATE, PULL = 6000, 1 << 28, 3, 5, 20.0
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 BITS = 21
 PREFIXES = (4, 5, 6)
@@ -187,43 +189,48 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Model | None, dict[str, float]]:
-    """The model and thresholds by language, from labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, calibrate: bool = True) -> tuple[Model | None, dict[str, float]]:
+    """The model, from labelled documents that are not held out, and thresholds by language (none where not calibrate)."""
     lab = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = common.materialise(chosen, "toxic-labels")
     common.prepare(docs.sparkSession)
 
-    def run(batches):
-        got = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "toxic")), strict=True)]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(got))], pa.binary())], ["fitted"])
-
-    # most rows at most, in one task: the driver gets the fitted model alone
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    made = rows.repartition(1).mapInArrow(run, "fitted binary").first()
-    return pickle.loads(bytes(made["fitted"])) if made else (None, {})
-
-
-def fit_rows(rows: list[tuple]) -> tuple[Model | None, dict[str, float]]:
-    """As fit, from rows of doc_id, text, lang and label."""
-    got = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    apart = [r for i, r in enumerate(got) if i % CALIBRATE == 0] if len(got) >= 1000 else []
-    used = [r for i, r in enumerate(got) if i % CALIBRATE] if apart else got
+    def run(table: pa.Table) -> pa.Table:
+        got = sorted(zip(*(table[c].to_pylist() for c in ("doc_id", "text", "lang", "toxic")), strict=True), key=lambda r: (r[0], r[1] or ""))
+        made = thresholds_of(got) if table["fold"][0].as_py() else train([r[1] or "" for r in got], np.array([r[3] for r in got]))
+        return pa.table({"fold": table["fold"][:1], "fitted": pa.array([pickle.dumps(made)], pa.binary())})
+
+    # most rows and TRAIN_CHARS characters at most, in one task for each fit: the driver gets what is fitted alone
+    own = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS // 64)
+    own = own.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("doc_id", "r.*")
+    own = common.materialise(own, "toxic-rows")
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = own.join(F.broadcast(own.select("doc_id", upto.alias("upto")).where(F.col("upto") <= TRAIN_CHARS).select("doc_id")), "doc_id", "left_semi")
+    folds = rows.withColumn("fold", F.explode(F.array(*map(F.lit, (0, 1) if calibrate else (0,)))))
+    made = {r["fold"]: pickle.loads(bytes(r["fitted"])) for r in folds.groupBy("fold").applyInArrow(run, "fold int, fitted binary").collect()}
+    return made.get(0), made.get(1, {})
+
+
+def thresholds_of(rows: list[tuple]) -> dict[str, float]:
+    """Thresholds by language, from sorted rows of doc_id, text, lang and label.
+
+    A language's threshold is that of fewest errors among rows that a model of the other rows scores; each PULL-th of the way from
+    0.5 must spare an error, so few rows move it little, at any size of the sample.
+    """
+    apart = [r for i, r in enumerate(rows) if i % CALIBRATE == CALIBRATE - 1]
+    used = [r for i, r in enumerate(rows) if i % CALIBRATE != CALIBRATE - 1]
     model = train([r[1] or "" for r in used], np.array([r[3] for r in used]))
     thresholds: dict[str, float] = {}
     if model and apart:
         score = np.concatenate([model.score(p) for _, p in common.blocks([(r[1] or "").lower() for r in apart])])
+        cuts = np.linspace(0.3, 0.9, 61)
         for lang in {r[2] for r in apart if r[2] is not None}:
             own = np.array([r[2] == lang for r in apart])
             s, y = score[own], np.array([r[3] for r in apart])[own]
-            if y.sum() < 10:
-                continue
-            cuts = np.linspace(0.3, 0.9, 61)
-            errors = np.array([((s >= c) != (y > 0)).sum() for c in cuts])
-            best = cuts[errors == errors.min()]
-            thresholds[lang] = float(best[np.argmin(np.abs(best - 0.5))])
-    return model, thresholds
+            errors = np.array([((s >= c) != (y > 0)).sum() for c in cuts]) + PULL * np.abs(cuts - 0.5)
+            thresholds[lang] = float(cuts[errors.argmin()])
+    return thresholds
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -255,6 +262,6 @@ def reject(docs: DataFrame, model: Model | None, thresholds: dict[str, float], d
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole document."""
     docs = common.table(spark, sf_dir, "documents")
-    model, _ = fit(docs, common.table(spark, sf_dir, "labels"))
+    model, _ = fit(docs, common.table(spark, sf_dir, "labels"), calibrate=False)
     got = score_documents(docs.select("doc_id", "text"), model)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
