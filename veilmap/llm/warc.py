@@ -10,7 +10,8 @@ the total length before the chunked framing is undone. Only segmented records ar
 
 Defined results: null html is an empty payload; a null page_id is larger than any other; rows that repeat a page_id with
 an equal payload are numbered, the first is the response; null urls give no target header; ``problem`` names what is
-wrong with a record that can't be reassembled, and its payload is null.
+wrong with a record that can't be reassembled, and its payload is null (the query fails on one); an empty table gives no rows; columns
+but page_id, url and html are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEGMENT, CHUNK, RECORDS = 1 << 16, 1 << 13, 2000
+SEGMENT, CHUNK, RECORDS, SALTS = 1 << 16, 1 << 13, 2000, 32
 CRLF = "\r\n"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -56,9 +57,16 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     base = base.withColumn("hex", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     counts = base.select("hex", "page_id").groupBy("hex", "page_id").agg(F.count(F.lit(1)).alias("m"))
     same = common.materialise(counts.groupBy("hex").agg(F.min("page_id").alias("first_id"), F.sum("m").alias("total"), F.max("m").alias("most")).where("total > 1"), "warc-equal")
-    x = base.join(same, "hex", "left")
-    number = F.row_number().over(Window.partitionBy("hex", "page_id").orderBy("url"))
-    x = x.where(F.coalesce("most", F.lit(1)) <= 1).withColumn("number", F.lit(1)).unionByName(x.where("most > 1").withColumn("number", number))
+    # a payload may be that of a third of all pages: its pages meet the group's row in SALTS places
+    salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    x = base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(salted, ["hex", "salt"], "left").drop("salt")
+    once = x.where(F.coalesce("most", F.lit(1)) <= 1).withColumn("number", F.lit(1))
+    # equal rows are one row with a count first, and are then dealt anew; only records that are stored whole keep the payload
+    equal = x.where("most > 1").groupBy("hex", "page_id", "url", "n_bytes", "first_id", "total", "most").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("equal"))
+    upto = F.sum("equal").over(Window.partitionBy("hex", "page_id").orderBy("url").rowsBetween(Window.unboundedPreceding, 0))
+    many = equal.withColumn("upto", upto).withColumn("number", F.explode(F.sequence(F.expr("upto - equal + 1"), F.col("upto")))).withColumn("number", F.col("number").cast("int"))
+    many = many.withColumn("payload", F.when((F.col("number") == 1) | (F.col("n_bytes") < min_bytes), F.col("payload"))).repartition("hex", "page_id", "number")
+    x = once.unionByName(many.select(*once.columns))
     revisit = F.col("first_id").isNotNull() | (F.col("total") > 1)
     revisit = revisit & (F.col("n_bytes") >= min_bytes) & ~(F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("number") == 1))
     return x.withColumn("record_type", F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response")).withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("first_id"))).withColumn("digest", base32(F.col("hex")))
@@ -263,7 +271,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archives back, and return what they say."""
     path = f"{common.shared_dir(spark)}/veilmap-warc-{uuid.uuid4().hex}"
     write_archives(common.table(spark, sf_dir, "pages"), path)
-    got = read_payloads(spark, path).where("problem is null").drop("payload")
+    got = read_payloads(spark, path).drop("payload")
+    lost = F.raise_error(F.concat(F.lit("record "), F.coalesce("record_id", F.lit("without id")), F.lit(": "), F.col("problem")))
+    got = got.withColumn("payload_bytes", F.when(F.col("problem").isNull(), F.col("payload_bytes")).otherwise(lost.cast("long")))
     number = lambda c: F.regexp_extract(c, "^<urn:veilmap:page:(-?[0-9]+):", 1)
     page = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return got.select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers").alias("refers_to"))
