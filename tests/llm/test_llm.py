@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -143,6 +144,66 @@ def test_ann_repeated_query(spark):
     assert [r["vec_id"] for r in got] == (1 + np.argsort(-(x[1:] @ x[0]))[:20]).tolist()
 
 
+def by_query(df):
+    out: dict = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_ann_lengths(spark):
+    """Vectors of every length are searched, among their own."""
+    r = np.random.default_rng(6)
+    x = {i: r.normal(size=8 if i < 700 else 5 if i < 760 else 3) for i in range(763)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id bigint, embedding array<double>")
+    got = by_query(ann.nearest(df, F.col("vec_id") % 10 == 0, 20, part_rows=100))
+    assert set(got) == {i for i in x if i % 10 == 0}
+    hits = []
+    for q, found in got.items():
+        near = sorted((i for i in x if i != q and len(x[i]) == len(x[q])), key=lambda i: (-float(x[i] @ x[q]), i))[:20]
+        assert len(found) == len(near)
+        if len(x[q]) < 8:
+            assert [f[0] for f in found] == near
+        hits.append(len(set(near) & {f[0] for f in found}) / len(near))
+    assert np.mean(hits) >= 0.9
+
+
+def test_ann_short_parts(spark, monkeypatch):
+    """Where the parts that a query visits hold fewer than k rows, all parts are searched."""
+    monkeypatch.setattr(ann, "PART_SAMPLE", 8)
+    r = np.random.default_rng(7)
+    centre = r.normal(size=(40, 6)) * 20
+    x = {i: centre[i % 40] + r.normal(size=6) * 0.01 for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id bigint, embedding array<double>")
+    got = by_query(ann.nearest(df, F.col("vec_id") % 20 == 0, 60, part_rows=8))
+    assert {q: len(f) for q, f in got.items()} == {q: 60 for q in range(0, 400, 20)}
+    for q, found in got.items():
+        assert len({f[0] for f in found}) == 60 and q not in {f[0] for f in found}
+
+
+def test_topk_odd(spark):
+    df, _ = vector_rows(spark)
+    assert exact_topk.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    some = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(8)] + [(0, [0.0, 1.0])] * 5, "vec_id bigint, embedding array<double>").withColumn("size", F.lit("clash")).withColumn("bucket", F.lit(None).cast("int"))
+    got = by_query(exact_topk.top_products(some, F.col("vec_id") == 0, 5, 1.0))
+    assert got == {0: [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1)]}
+    zero = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert by_query(exact_topk.top_products(zero, F.col("vec_id") == 0, 5, 1.0)) == {0: [(1, 0), (2, 0)]}
+
+
+def test_topk_buckets(spark, monkeypatch):
+    """Many buckets, most of which a block of queries never meets."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    r = np.random.default_rng(8)
+    x = {i: (r.normal(size=6) * 3.0 ** r.integers(0, 6)).round(2) for i in range(900)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id bigint, embedding array<double>")
+    got = by_query(exact_topk.top_products(df, F.col("vec_id") % 50 == 0))
+    w = {i: np.array([math.floor(256 * float(c)) for c in v]) for i, v in x.items()}
+    for q in range(0, 900, 50):
+        want = sorted((-int(w[q] @ w[i]), i) for i in w if i != q)[:5]
+        assert got[q] == [(i, -v) for v, i in want]
+
+
 def test_ann_query(spark, sf):
     assert ann.op3_ann(spark, sf).count() == 25 * 20
 
@@ -333,13 +394,31 @@ def test_counts_and_ids_as_library(spark, monkeypatch):
     texts = [t or "" for t in ODD] + noise(1500, 1)
     want = bpe.library(SP).encode(texts)
     t, e = token_counts.transducer(SP), lattice.encoder(SP)
-    assert [t.count(x) for x in texts] == [len(w) for w in want]
+    assert t.count(texts) == [len(w) for w in want]
     assert [np.frombuffer(x, np.int32).tolist() for x in e.encode(texts)] == want
-    monkeypatch.setattr(token_counts, "CHUNK", 5)
-    assert [t.count(x) for x in texts[:400]] == [len(w) for w in want[:400]]
+    for chunk in (1, 5):  # cut anywhere, so chunks without border come too
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        assert t.count(texts[:400]) == [len(w) for w in want[:400]]
     monkeypatch.setattr(token_counts, "MOST_STATES", 50)
-    monkeypatch.setattr(token_counts, "MOST_WORDS", 3)
-    assert [t.count(x) for x in texts[:200]] == [len(w) for w in want[:200]]
+    monkeypatch.setattr(token_counts, "PORTION", 1000)
+    assert t.count(texts[:200]) == [len(w) for w in want[:200]] and len(t.states) < 5000
+    e.words.most = e.parts.most = 2000
+    assert [np.frombuffer(x, np.int32).tolist() for x in e.encode(texts[:50]) for _ in (0,)] == want[:50]
+    e.words.most = e.parts.most = common.KEPT_BYTES
+
+
+def test_chunk_maps_compose():
+    """A map of a chunk holds for any entry: walking two chunks is walking their join."""
+    t = token_counts.Transducer(SP)
+    text = " the catalogue,unbelievable\nΣx ab" * 3
+    kinds = t.alphabet.classes(text)
+    border = t.alphabet.borders(kinds)
+    zero = np.zeros(1, np.int32)
+    whole = t.walk(kinds, border, np.array([0]), np.array([len(text)]), zero)
+    for cut in range(len(text)):
+        mid, a = t.walk(kinds, border, np.array([0]), np.array([cut]), zero)
+        end, b = t.walk(kinds, border, np.array([cut]), np.array([len(text)]), mid)
+        assert (end, a + b) == whole
 
 
 def test_count_query(spark, sf):
@@ -436,7 +515,7 @@ def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(i, int(60 <= i < 90)) for i in range(90)] + [(3, None), (None, 1)], "doc_id bigint, toxic int")
     model, thresholds = toxicity.fit(docs, labels)
     got = toxicity.score_documents(docs, model).collect()
-    assert len(got) == 90 + len(ODD) and all(0 <= r["tox_score"] <= 1 for r in got) and thresholds == {}
+    assert len(got) == 90 + len(ODD) and all(0 <= r["tox_score"] <= 1 for r in got) and thresholds == {"en": 0.5}
     tox = [r["tox_score"] >= 0.5 for r in sorted(got, key=lambda r: r["extra"])[:90]]
     assert tox[:60] == [False] * 60 and sum(tox[60:]) >= 28
     kept = toxicity.reject(docs, model, {"en": 0.6})
@@ -472,6 +551,31 @@ def test_warc_segments_and_copies(spark, tmp_path):
     assert {r["warc_type"] for r in warc.read_payloads(spark, f"{path}2").collect()} == {"response"}
 
 
+def test_warc_odd(spark, tmp_path):
+    pages = spark.createDataFrame([(7, "u", "same" * 50)] * 300 + [(i, None, "same" * 50) for i in range(8, 40)] + [(7, "v", "same" * 50)], "page_id bigint, url string, html string").withColumn("number", F.lit("clash"))
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    got = warc.read_payloads(spark, f"file://{tmp_path}/w").collect()
+    assert len(got) == 333 == len({r["record_id"] for r in got}) and sum(r["warc_type"] == "response" for r in got) == 1
+    assert all(r["problem"] is None and r["payload_bytes"] == 200 for r in got)
+    os.makedirs(tmp_path / "sf")
+    pages.limit(0).write.parquet(f"{tmp_path}/sf/pages.parquet")
+    assert warc.op9_warc(spark, str(tmp_path / "sf")).count() == 0
+
+
+def test_warc_loss_is_loud(spark, sf, monkeypatch):
+    bad = spark.createDataFrame([("<urn:veilmap:page:1:X:1>", "total length differs", 1)], "record_id string, problem string, payload_bytes bigint")
+    monkeypatch.setattr(warc, "read_payloads", lambda *a: bad.selectExpr("*", "'response' as warc_type", "'X' as digest", "'' as refers", "cast(null as binary) as payload"))
+    with pytest.raises(Exception, match="total length differs"):
+        warc.op9_warc(spark, sf).collect()
+
+
+def test_count_and_encode_nothing(spark):
+    none = documents(spark, ["a"]).limit(0)
+    assert token_counts.count_tokens(none, SP).count() == 0 and lattice.digest_documents(none, SP).count() == 0
+    twice = documents(spark, ["a b", "a b"]).unionByName(documents(spark, ["a b"]))
+    assert [r["n_tokens"] for r in token_counts.count_tokens(twice, SP).collect()] == [2, 2, 2] == [r["n_tokens"] for r in lattice.digest_documents(twice, SP).collect()]
+
+
 def test_warc_broken():
     part = lambda k, total, n=2: {"segment": k, "total": total, "block": b"x" * n}
     assert warc.assembled([part(1, None), part(3, 4)])[1] and warc.assembled([part(1, None), part(2, 5)])[1] and warc.assembled([part(1, None), part(2, None)])[1]

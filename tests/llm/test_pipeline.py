@@ -1,6 +1,7 @@
 """The pipeline's stages in order, each against a brute-force version of it."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from veilmap.llm import bpe, common, lattice, minhash, mixing, toxicity
@@ -45,3 +46,26 @@ def test_pipeline(spark, sf):
     assert all(r["n_tokens"] == len(lib.encode(text[r["doc_id"]])) and r["round_trip"] for r in out)
     whole = pipeline.run(spark, sf).collect()
     assert sorted(map(str, whole)) == sorted(map(str, out))
+
+
+def test_pipeline_odd(spark, sf):
+    """Null and empty texts, repeated rows, clashing columns and an empty table go through every stage."""
+    r = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 900, 30)) for _ in range(40)]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 4 else None) for i, t in enumerate([*texts, None, "", " ", "one", "\n"])]
+    rows += [rows[0]] * 20 + [(900, texts[0] + " x", "de", "s1"), (None, texts[1], None, None), rows[-1], rows[40]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("class_id", "size", "n", "target", "tox_score_", "dd_key_", "rep"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    at = docs
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        out = common.materialise(stage(spark, at, sf), f"odd-{name}")
+        assert out.count() > 0 and (i + 1 == len(pipeline.STAGES) or out.columns == docs.columns)
+        if name == "near_dedup":
+            kept = [x["doc_id"] for x in out.collect()]
+            assert kept.count(0) == 1 and 900 not in kept and kept.count(40) == 2 and {41, 42, 43, 44} <= set(kept)
+        at = out
+    at = docs.limit(0)
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        at = common.materialise(stage(spark, at, sf), f"none-{name}")
+        assert at.count() == 0 and (i + 1 == len(pipeline.STAGES) or at.columns == docs.columns)
