@@ -78,6 +78,81 @@ def test_store_and_stream(spark, tmp_path):
         ingest.receipt(store.receipts(), "me", "stream-0", "other")
 
 
+def test_edits_through_the_store(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", FRAME, "name string, n int")
+    rows = spark.createDataFrame([(i, None, f"k{i}", float(i), 2.0, ["a"] if i % 2 else ["b"], f"n{i}", i) for i in range(6)], "row bigint, id bigint, key string, x double, y double, labels array<string>, name string, n int")
+    assert store.take(rows, "me", "1").count() == 0
+    item = {r["key"]: r for r in store.items().collect()}
+    one = spark.createDataFrame([(item["k5"]["entity"],)], "entity bigint")
+    store.change(one, "suppress")
+    some = "row bigint, id bigint, key string, x double, y double, name string"
+    # k1 gets a place, k2 keeps its own, k5 by its number gets a new key and loses its name; a repeated row, a taken key
+    edits = [(1, None, "k1", 50.0, 60.0, "new"), (2, None, "k2", None, None, None), (3, item["k5"]["number"], "k9", None, None, None), (4, None, "k1", 1.0, 1.0, "x"), (5, item["k3"]["number"], "k4", None, None, "x"), (6, None, "k9", 1.0, 1.0, None), (7, None, "q", None, None, None), (8, 999, None, 1.0, 1.0, None)]
+    refused = {r["row"]: r["reason"] for r in store.take(spark.createDataFrame(edits, some), "me", "2").collect()}
+    assert refused == {4: "one_item_twice", 5: "names_two_items", 6: "one_value_twice", 7: "names_no_item", 8: "unknown_id"}
+    got = {r["key"]: r for r in store.items().collect()}
+    assert sorted(got) == ["k0", "k1", "k2", "k3", "k4", "k9"]
+    assert (got["k1"]["x"], got["k1"]["y"], got["k1"]["name"], got["k1"]["n"], got["k1"]["labels"], got["k1"]["keys"]) == (50.0, 60.0, "new", 1, ["a"], ["a"])
+    assert (got["k2"]["x"], got["k2"]["name"], got["k2"]["n"]) == (2.0, None, 2)
+    assert got["k9"]["number"] == item["k5"]["number"] and got["k9"]["entity"] != item["k5"]["entity"] and got["k9"]["n"] == 5
+    assert got["k1"]["code"] != item["k1"]["code"] and got["k2"]["code"] == item["k2"]["code"]
+    assert {r["entity"] for r in store.suppressed().collect()} >= {got["k9"]["entity"]}
+    assert store.take(spark.createDataFrame(edits, some), "me", "2") is None
+    with pytest.raises(ingest.Conflict):
+        store.take(rows, "me", "2")
+    # a writer's scope: items of other labels are as absent, their keys stay taken, labels not held can't be set
+    b = access.Viewer.of("b")
+    labelled = spark.createDataFrame([(1, item["k1"]["number"], None, None, None, None), (2, None, "k1", 1.0, 1.0, None), (3, None, "k4", None, None, ["b"]), (4, None, "z", 1.0, 1.0, ["a"]), (5, None, "z", 1.0, 1.0, ["b"])], "row bigint, id bigint, key string, x double, y double, labels array<string>")
+    assert {r["row"]: r["reason"] for r in store.take(labelled, "b", "1", b).collect()} == {1: "unknown_id", 2: "value_held", 4: "label_not_held"}
+    assert {r["key"] for r in access.authorised(store.items(), b).collect()} == {"k0", "k2", "k4", "z"}
+    with pytest.raises(ValueError):
+        store.take(spark.createDataFrame([(1, None, "w", 1.0, None, None)], some), "me", "3")
+    store.declare("attribute", "score", "double")
+    store.declare("attribute", "score", "double")
+    with pytest.raises(ValueError):
+        store.declare("attribute", "score", "int")
+    store.take(spark.createDataFrame([(1, None, "k0", None, None, 0.5)], "row bigint, id bigint, key string, x double, y double, score double"), "me", "4")
+    assert {r["key"]: r["score"] for r in store.items().collect()} == {"k0": 0.5, "k1": None, "k2": None, "k3": None, "k4": None, "k9": None, "z": None}
+    store.compact()
+    assert store.items().count() == 7 and store.manifest()["segments"].__len__() == 1
+
+
+def test_rows_are_decided_in_order(spark):
+    """Against a walk through the batch, row by row."""
+    import random
+
+    r = random.Random(9)
+    held = {e: f"k{e}" if e % 3 else None for e in range(12)}
+    scope = {e for e in held if e % 5}
+    rows = [(i, r.choice([None, None, r.randint(0, 14)]), r.choice([None, f"k{r.randint(0, 14)}", f"f{r.randint(0, 9)}"]), *r.choice([(1.0, 1.0), (None, None)])) for i in range(400)]
+    want, items, values = {}, set(), set()
+    for row, i, key, x, _ in rows:
+        by_id = i if i in scope else None
+        holder = next((e for e, k in held.items() if key is not None and k == key), None)
+        by_key = holder if holder in scope else None
+        item, sets = by_id if by_id is not None else by_key, key if by_key is None else None
+        if i is not None and by_id is None:
+            reason = "unknown_id"
+        elif by_id is not None and by_key is not None and by_id != by_key:
+            reason = "names_two_items"
+        elif item is None and x is None:
+            reason = "names_no_item"
+        elif holder is not None and by_key is None:
+            reason = "value_held"
+        elif item in items:
+            reason = "one_item_twice"
+        elif sets in values:
+            reason = "one_value_twice"
+        else:
+            reason = None
+            items |= {item} - {None}
+            values |= {sets} - {None}
+        want[row] = (reason, item if reason is None else None)
+    got = ingest.resolve_rows(spark.createDataFrame(rows, "row bigint, id bigint, key string, x double, y double"), spark.createDataFrame(list(held.items()), "entity bigint, key string"), spark.createDataFrame([(e,) for e in scope], "entity bigint"))
+    assert {g["row"]: (g["reason"], g["entity"]) for g in got.collect()} == want
+    assert {w[0] for w in want.values()} - {None} == set(ingest.REASONS) - {"label_not_held"}
+
+
 def test_declarations(spark):
     df = spark.createDataFrame([(1, "a")], "n bigint, s string")
     assert check_declaration({"n": "bigint", "t": "string"}, df) == ["missing column t", "undeclared column s"]

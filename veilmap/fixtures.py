@@ -46,7 +46,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.with_keys(orders(spark, sf_dir))
+    return orders(spark, sf_dir).withColumn("keys", access.plain_keys(F.col("labels")))
 
 
 def overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -84,11 +84,11 @@ def tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as text items with tokens."""
-    from .functions.text import tokens_udf
+    """Documents as text items with tokens."""
+    from .functions.text import tokens_of
 
-    d = read(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select(F.col("doc_id").alias("entity"), "source", tokens_udf("text").alias("tokens"))
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("entity"), "source", tokens_of(F.col("text")).alias("tokens"))
 
 
 # --- the same in SQL --------------------------------------------------------------------------------
@@ -129,4 +129,6 @@ artifacts as (select a.*, coalesce(size, 0) as size from (
     union all select 'n' || n_nationkey, 1, 'r' || n_regionkey, n_name from nation
     union all select 'c' || c_custkey, 2, 'n' || c_nationkey, case when c_custkey % 3 <> 0 then c_name end from customer) a left join sizes using (artifact)),
 masked as (select artifact, count(*) as masked from members where entity in (select entity from shown) group by 1)"""
-TEXTS_SQL = r"texts as (select doc_id as entity, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') as tokens from documents where lang = 'en')"
+# signs join letters or digits to their like only: those between unlike ones become spaces first
+TEXTS_SQL = r"""texts as (select doc_id as entity, source, regexp_extract_all(
+    regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '(\p{L})[''’.:·]([\p{N}_])', '\1 \2', 'g'), '([\p{N}_])[''’.:·,;]([\p{L}_])', '\1 \2', 'g'), '[\p{L}\p{M}\p{N}_]+(?:[''’.:·][\p{L}\p{N}_]+)*') as tokens from documents)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import struct
@@ -222,64 +223,115 @@ def convex_hull(points: np.ndarray) -> list[tuple[int, int]]:
     return lower[:-1] + upper[:-1]
 
 
-def concave_hull(points: np.ndarray, budget: int = 2048, reach: float = 2.0) -> list[tuple[int, int]]:
-    """A ring around the points that digs from the convex hull towards near inner points.
+def near_groups(points: np.ndarray, within: float) -> np.ndarray:
+    """A group number per point, so that points at most ``within`` apart share one (some a little further apart do too).
 
-    An edge longer than reach times the typical spacing is bent to the inner point nearest to it, while the ring stays simple
-    and budget allows; every point stays inside or on the ring.
+    Points are put on a grid of that side; occupied cells that touch are joined.
     """
-    hull = convex_hull(points)
-    if len(hull) < 3:
-        return hull
-    pts = np.unique(points.astype(np.int64), axis=0)
-    used = set(hull)
-    area = max(1.0, float(np.ptp(pts[:, 0])) * float(np.ptp(pts[:, 1])))
-    limit = reach * math.sqrt(area / len(pts))
-    ring = list(hull)
-    i = 0
-    dug = 0
-    inner = np.array([p for p in map(tuple, pts.tolist()) if p not in used], np.float64).reshape(-1, 2)
-
-    def turn(a, b, c):
-        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-    def crosses(a, b, skip):
-        for k in range(len(ring)):
-            p, q = ring[k], ring[(k + 1) % len(ring)]
-            if {p, q} & {a, b} or (p, q) == skip:
+    cells, at = np.unique(np.floor((points - points.min(axis=0)) / within).astype(np.int64), axis=0, return_inverse=True)
+    wide = int(cells[:, 1].max()) + 3
+    key = cells[:, 0] * wide + cells[:, 1]
+    a, b = [], []
+    for step in (1, wide - 1, wide, wide + 1):
+        to = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        hit = (key[to] == key + step) & (np.abs(cells[to, 1] - cells[:, 1]) <= 1)
+        a.append(np.flatnonzero(hit))
+        b.append(to[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    label = np.arange(len(key))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return np.unique(label, return_inverse=True)[1][at.ravel()]
+        label = new
+
+
+def _turn(a, b, c) -> int:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+class _Ring:
+    """One group's boundary while it is dug: points by the point before them, and which points are not on it yet."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        hull = convex_hull(points)
+        self.after = dict(zip(hull, [*hull[1:], hull[0]], strict=True))
+        on = np.array(sorted(hull), np.int64)
+        self.free = ~(points[:, None, :] == on[None]).all(axis=2).any(axis=1) if len(on) * len(points) < 1 << 24 else np.array([tuple(p) not in self.after for p in points.tolist()])
+
+    def nearest(self, a, b):
+        """The free point nearest to the edge on its inner side or on it, among those beside it."""
+        at = np.flatnonzero(self.free)
+        v = (self.points[at] - np.array(a)).astype(np.float64)
+        d = np.array([b[0] - a[0], b[1] - a[1]], np.float64)
+        along, off = v @ d, d[0] * v[:, 1] - d[1] * v[:, 0]
+        fine = (along > 0) & (along < d @ d) & (off > -1e-9 * (d @ d))
+        at, off = at[fine], off[fine]
+        while len(at):
+            k = int(off.argmin())
+            c = tuple(int(x) for x in self.points[at[k]])
+            if _turn(a, b, c) >= 0:
+                return at[k], c
+            at, off = np.delete(at, k), np.delete(off, k)
+        return None
+
+    def crossed(self, a, b) -> bool:
+        """Whether a segment would meet the boundary anywhere but at its own ends."""
+        x0, x1, y0, y1 = min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])
+        for p, q in self.after.items():
+            if p in (a, b) or q in (a, b) or max(p[0], q[0]) < x0 or min(p[0], q[0]) > x1 or max(p[1], q[1]) < y0 or min(p[1], q[1]) > y1:
                 continue
-            if (turn(a, b, p) > 0) != (turn(a, b, q) > 0) and (turn(p, q, a) > 0) != (turn(p, q, b) > 0):
+            if _turn(a, b, p) * _turn(a, b, q) <= 0 and _turn(p, q, a) * _turn(p, q, b) <= 0:
                 return True
         return False
 
-    while i < len(ring) and dug < budget and len(inner):
-        a, b = ring[i], ring[(i + 1) % len(ring)]
-        if math.dist(a, b) <= limit:
-            i += 1
-            continue
-        da, db = np.hypot(*(inner - a).T), np.hypot(*(inner - b).T)
-        # the point that sees the edge best; nothing may lie in the triangle that is cut away
-        k = int(np.maximum(da, db).argmin())
-        c = tuple(int(v) for v in inner[k])
-        bad = max(da[k], db[k]) >= math.dist(a, b) or crosses(a, c, (a, b)) or crosses(c, b, (a, b)) or turn(a, b, c) <= 0
-        if not bad:
-            t = [(turn(a, c, p), turn(c, b, p), turn(b, a, p)) for p in map(tuple, inner.tolist()) if p != c]
-            bad = any(all(v < 0 for v in x) or all(v > 0 for v in x) for x in t)
-        if bad:
-            i += 1
+    def ring(self) -> list[tuple[int, int]]:
+        out = [min(self.after, key=lambda p: (p[1], p[0]))] if self.after else []
+        while out and (nxt := self.after[out[-1]]) != out[0]:
+            out.append(nxt)
+        return out
+
+
+def concave_rings(points: np.ndarray, budget: int = 2048, reach: float = 2.0) -> list[list[tuple[int, int]]]:
+    """Counter-clockwise rings around the groups of points, dug from their convex hulls towards near inner points.
+
+    ``reach`` times the typical spacing is what an edge may bridge: points further apart are other groups, and of longer edges the
+    longest is bent to the nearest inner point beside it, while rings stay simple and the budget lasts. Nothing lies in the triangle that
+    such a bend cuts away, so every point stays inside or on its ring.
+    """
+    pts = np.unique(points.astype(np.int64), axis=0)
+    if len(pts) < 3:
+        return [[tuple(p) for p in pts.tolist()]] if len(pts) else []
+    area = max(1.0, float(np.ptp(pts[:, 0])) * float(np.ptp(pts[:, 1])))
+    bridge = max(1.0, reach * math.sqrt(area / len(pts)))
+    group = near_groups(pts, bridge)
+    order = np.argsort(group, kind="stable")
+    rings = [_Ring(own) for own in np.split(pts[order], np.flatnonzero(np.diff(group[order])) + 1)]
+    queue: list[tuple] = []
+
+    def ask(r: int, a, b) -> None:
+        if (n := math.dist(a, b)) > bridge:
+            heapq.heappush(queue, (-n, r, a, b))
+
+    for r, x in enumerate(rings):
+        for a, b in x.after.items():
+            if len(x.after) > 2:
+                ask(r, a, b)
+    while queue and budget > 0:
+        _, r, a, b = heapq.heappop(queue)
+        x = rings[r]
+        got = x.nearest(a, b)
+        if got is None or x.crossed(a, got[1]) or x.crossed(got[1], b):
             continue
-        ring.insert(i + 1, c)
-        inner = np.delete(inner, k, axis=0)
-        dug += 1
-    return ring
-
-
-def quantised(points: np.ndarray, divisions: int = 1024, floor: int = 75_000) -> np.ndarray:
-    """One real member per cell of a grid over the points' box, where there are at least floor points."""
-    if len(points) < floor:
-        return points
-    low, high = points.min(axis=0), points.max(axis=0)
-    cell = ((points - low) * divisions // np.maximum(high - low + 1, 1)).astype(np.int64)
-    order = np.lexsort((points[:, 1], points[:, 0]))
-    _, first = np.unique(cell[order, 0] * divisions + cell[order, 1], return_index=True)
-    return points[order[np.sort(first)]]
+        at, c = got
+        x.free[at] = False
+        x.after[a], x.after[c] = c, b
+        ask(r, a, c)
+        ask(r, c, b)
+        budget -= 1
+    return sorted(x.ring() for x in rings)

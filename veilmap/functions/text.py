@@ -37,9 +37,22 @@ def fold_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else fold(t))
 
 
-def ascii_tokens(text: Column) -> Column:
-    """The same tokens in Spark alone, for text of plain letters and digits of scripts with case and spaces (no NFKC)."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{M}\\p{N}_]+"), lambda w: w != "")
+# letters and signs of Latin text that NFKC leaves as they are
+_LATIN = "^[\\x00-\\x7f¡-§©«¬®°±¶·»¿-ıĴ-ľŁ-ňŊ-žʼ’]*$"
+_LATIN_WORD = "[\\p{L}\\p{N}_]+(?:(?:(?<=\\p{L})['’.:·](?=\\p{L})|(?<=\\p{N})[.,;'](?=\\p{N}))[\\p{L}\\p{N}_]+)*"
+
+
+def latin_tokens(text: Column) -> Column:
+    """The same tokens in Spark alone; null for text that holds anything but Latin letters and common signs."""
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    words = F.filter(F.regexp_extract_all(folded, F.lit(_LATIN_WORD), F.lit(0)), lambda w: w.rlike("[\\p{L}\\p{N}]"))
+    return F.when(text.rlike(_LATIN) & ~text.contains("İ"), words)
+
+
+def tokens_of(text: Column) -> Column:
+    """Tokens of any text. Python sees only texts that latin_tokens leaves, so a column of these is best kept where items are written."""
+    native = latin_tokens(text)
+    return F.coalesce(native, tokens_udf(F.when(native.isNull(), text)))
 
 
 def entries(key: str, title: str | None) -> list[tuple[int, str]]:

@@ -1,8 +1,9 @@
 """Row-level access: labels, index keys, grants, the visible set and why a record is in it.
 
 A label is an expression over terms: a & b, a | c, brackets where both mix, quotes around anything but plain words, or
-``public``. A record's labels are one disjunction. It is indexed by keys: a term stands for itself, a conjunction for its
-canonical form behind a NUL. A viewer's grant is the keys that its terms satisfy; the visible set is a semi join of items
+``public``. Terms that read ``public`` or ``inherited`` in any case are refused, and so is NUL in a term. A record's labels
+are one disjunction. It is indexed by keys: a term stands for itself, a conjunction for its terms in order, each behind a
+NUL, so no term can pass for several. Keys are worked out where items are written and kept with them. A viewer's grant is the keys that its terms satisfy; the visible set is a semi join of items
 with the grant, less what is deleted or suppressed, and everything else is computed from that.
 """
 
@@ -14,11 +15,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 PUBLIC, MOST_NODES = "public", 1024
+RESERVED = ("public", "inherited")
 _TOKEN = re.compile(r'\s*(?:([&|()])|"((?:[^"\\]|\\.)*)"|([^\s&|()"]+))')
 
 
@@ -38,6 +40,11 @@ def _tokens(text: str) -> list[tuple[str, str]]:
             term = re.sub(r"\\(.)", r"\1", m[2]) if m[2] is not None else m[3]
             if not term:
                 raise LabelError("a term is empty")
+            if "\0" in term:
+                raise LabelError("a term holds NUL")
+            quoted = m[2] is not None
+            if term.casefold() in RESERVED and (quoted or term != PUBLIC):
+                raise LabelError(f"{term!r} is reserved")
             out.append(("term", term))
         at = m.end()
     return out
@@ -99,17 +106,25 @@ def parse(text: str, most: int = MOST_NODES) -> frozenset[frozenset[str]]:
 def key_of(alternative: frozenset[str]) -> str:
     if not alternative:
         return PUBLIC
-    return next(iter(alternative)) if len(alternative) == 1 else "\0" + "&".join(sorted(alternative))
+    return next(iter(alternative)) if len(alternative) == 1 else "".join("\0" + t for t in sorted(alternative))
+
+
+def _terms_of(key: str) -> list[str]:
+    return key[1:].split("\0") if key.startswith("\0") else [key]
+
+
+def quoted(term: str) -> str:
+    """A term as a label writes it."""
+    return term if re.fullmatch(r'[^\s&|()"]+', term) else '"' + term.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
 def normal(text: str) -> str:
     """A label in canonical form."""
-    quote = lambda t: t if re.fullmatch(r'[^\s&|()"]+', t) else '"' + t.replace("\\", "\\\\").replace('"', '\\"') + '"'
     alternatives = sorted(sorted(a) for a in parse(text))
     if alternatives == [[]]:
         return PUBLIC
     both = len(alternatives) > 1
-    return "|".join("(" + "&".join(map(quote, a)) + ")" if both and len(a) > 1 else "&".join(map(quote, a)) for a in alternatives)
+    return "|".join("(" + "&".join(map(quoted, a)) + ")" if both and len(a) > 1 else "&".join(map(quoted, a)) for a in alternatives)
 
 
 @lru_cache(maxsize=100_000)
@@ -130,6 +145,23 @@ def with_keys(items: DataFrame, labels: str = "labels") -> DataFrame:
     return items.join(kinds, items[labels] == F.col("kind_"), "left").drop("kind_").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
 
+_WORD = r'[^\s&|()"\x00]+'
+
+
+def plain_keys(labels: Column) -> Column:
+    """The keys of label lists whose labels are words or conjunctions of words (a&b), by built-in functions alone.
+
+    Any other label fails the query: lists that may hold one go through with_keys.
+    """
+    plain = lambda x: x.rlike(f"^{_WORD}(&{_WORD})*$") & ((x == PUBLIC) | ~F.exists(F.split(x, "&"), lambda t: F.lower(t).isin(*RESERVED)))
+    checked = F.transform(labels, lambda x: F.when(plain(x), x).otherwise(F.raise_error(F.concat(F.lit("not a plain label: "), F.coalesce(x, F.lit("null"))))))
+    every = F.array_distinct(F.transform(checked, lambda x: F.array_sort(F.array_distinct(F.split(x, "&")))))
+    least = F.filter(every, lambda a: ~F.exists(every, lambda b: (F.size(b) < F.size(a)) & (F.size(F.array_except(b, a)) == 0)))
+    keys = F.array_sort(F.transform(least, lambda a: F.when(F.size(a) == 1, a[0]).otherwise(F.concat(F.lit("\0"), F.array_join(a, "\0")))))
+    public = F.array_contains(checked, PUBLIC)
+    return F.when(labels.isNull(), F.array().cast("array<string>")).when(public, F.array(F.lit(PUBLIC))).otherwise(keys)
+
+
 def item_keys(items: DataFrame) -> DataFrame:
     """The exploded relation (entity, key)."""
     return items.select("entity", F.explode("keys").alias("key"))
@@ -149,7 +181,7 @@ class Viewer:
     def satisfies(self, key: str) -> bool:
         if self.read_all or key == PUBLIC:
             return True
-        return set(key[1:].split("&")) <= self.terms if key.startswith("\0") else key in self.terms
+        return set(_terms_of(key)) <= self.terms
 
     def held(self, label: str | None) -> bool:
         """Whether a view, layer or artifact of this label is open to the viewer; without label it is."""
@@ -159,7 +191,7 @@ class Viewer:
 def satisfied(key, viewer: Viewer):
     """Whether one key column is satisfied by the viewer."""
     terms = F.array(*[F.lit(t) for t in sorted(viewer.terms)]) if viewer.terms else F.array().cast("array<string>")
-    parts = F.split(F.substring(key, 2, 1 << 30), "&")
+    parts = F.split(F.substring(key, 2, 1 << 30), "\0")
     return (key == PUBLIC) | F.array_contains(terms, key) | (key.startswith("\0") & F.forall(parts, lambda p: F.array_contains(terms, p)))
 
 
@@ -187,19 +219,18 @@ def visible(items: DataFrame, viewer: Viewer, deleted: DataFrame | None = None,
 
 
 def witness(keys: Iterable[str], viewer: Viewer) -> list[str]:
-    """Why a record is visible: the terms held that its labels name, and for conjunctions the fewest terms that satisfy one."""
-    out = set()
-    for k in keys:
-        if viewer.satisfies(k):
-            out.add(k[1:] if k.startswith("\0") else k)
-    return sorted(out, key=lambda x: (x.count("&"), x))
+    """Why a record is visible: the clauses that the viewer satisfies, those of fewest terms first, as labels write them."""
+    held = [_terms_of(k) for k in set(keys) if viewer.satisfies(k)]
+    return ["&".join(map(quoted, ts)) for ts in sorted(held, key=lambda ts: (len(ts), ts))]
 
 
 def why_visible(items: DataFrame, viewer: Viewer) -> DataFrame:
-    """items with the clauses that let the viewer see them, fewest terms first."""
-    plain = F.transform(F.filter("keys", lambda k: satisfied(k, viewer)), lambda k: F.translate(k, "\0", ""))
-    ranked = F.array_sort(F.transform(plain, lambda k: F.struct((F.size(F.split(k, "&")) - 1).alias("n"), k.alias("k"))))
-    return items.withColumn("why", F.transform(ranked, lambda s: s["k"]))
+    """items with the clauses that let the viewer see them, those of fewest terms first, as labels write them."""
+    held = F.filter("keys", lambda k: satisfied(k, viewer) | F.lit(viewer.read_all))
+    parts = F.transform(held, lambda k: F.when(k.startswith("\0"), F.split(F.substring(k, 2, 1 << 30), "\0")).otherwise(F.array(k)))
+    ranked = F.array_sort(F.transform(parts, lambda ts: F.struct(F.size(ts).alias("n"), ts.alias("ts"))))
+    quote = lambda t: F.when(t.rlike(f"^{_WORD}$"), t).otherwise(F.concat(F.lit('"'), F.regexp_replace(t, r'([\\"])', r"\\$1"), F.lit('"')))
+    return items.withColumn("why", F.transform(ranked, lambda s: F.array_join(F.transform(s["ts"], quote), "&")))
 
 
 def writable(rows: DataFrame, viewer: Viewer) -> DataFrame:

@@ -249,22 +249,71 @@ def field_summary(visible: DataFrame, column: str) -> DataFrame:
 # --- layers -----------------------------------------------------------------------------------------
 
 
-def by_artifacts(rows: DataFrame, members: DataFrame, listed: DataFrame | None = None, top: int | None = None) -> DataFrame:
+def by_artifacts(rows: DataFrame, members: DataFrame, listed: DataFrame | None = None, top: int | None = None, depth: int | None = None) -> DataFrame:
     """Counts by artifact, then ``rest`` (in a served artifact that is not listed only) and ``none`` (in none that is served).
 
-    members: artifact, entity of the artifacts served to the viewer. listed: artifact, or the top of the set by count.
-    Artifacts may overlap: an item counts in each that holds it.
+    members: artifact, entity of the artifacts served to the viewer. listed: artifact (a table), or the top of the set by count.
+    Artifacts may overlap: an item counts in each that holds it. With a depth, each group is counted by cells.
     """
-    own = rows.select("entity", "in_set", "in_ref").join(members.select("artifact", "entity").distinct(), "entity")
-    counts = _tally(own, "artifact")
+    if (listed is None) == (top is None):
+        raise Refused("which groups: top or named")
+    if top is not None and not 1 <= top <= MOST_GROUPS:
+        raise Refused(f"at most {MOST_GROUPS} groups")
+    cells = [] if depth is None else ["cell"]
+    own = rows if depth is None else rows.withColumn("cell", spatial.tile(F.col("code"), depth))
+    # one join of items and memberships, whose exchange serves the counts and the rest
+    held = own.select("entity", "in_set", "in_ref", *cells).join(members.select("artifact", "entity").distinct(), "entity", "left")
     if listed is None:
-        listed = counts.where("count > 0").orderBy(F.desc("count"), "artifact").limit(top or MOST_GROUPS).select("artifact")
-    shown = listed.join(counts, "artifact", "left").fillna(0, ["count", "reference_count"]).select(F.lit("listed").alias("grp"), "artifact", "count", "reference_count")
-    held = members.join(listed.withColumn("yes", F.lit(1)), "artifact", "left").groupBy("entity").agg(F.max(F.coalesce("yes", F.lit(0))).alias("yes"))
-    left = rows.join(held, "entity", "left").where(F.coalesce("yes", F.lit(-1)) != 1).withColumn("grp", F.when(F.col("yes").isNull(), "none").otherwise("rest"))
+        counts = _tally(held.where("artifact is not null"), "artifact")
+        listed = counts.where("count > 0").orderBy(F.desc("count"), "artifact").limit(top).select("artifact")
+    names = listed.select("artifact", F.lit(1).alias("yes"))
+    flagged = held.join(names, "artifact", "left")
+    shown = _tally(flagged.where("yes = 1"), "artifact", *cells)
+    if depth is None:
+        shown = names.select("artifact").join(shown, "artifact", "left").fillna(0, ["count", "reference_count"])
+    shown = shown.select(F.lit("listed").alias("grp"), "artifact", *cells, "count", "reference_count")
+    state = F.max(F.when(F.col("yes") == 1, 2).when(F.col("artifact").isNotNull(), 1).otherwise(0))
+    items = flagged.groupBy("entity").agg(state.alias("state"), F.bool_or("in_set").alias("in_set"), F.bool_or("in_ref").alias("in_ref"), *[F.first(c).alias(c) for c in cells])
+    left = items.where("state < 2").withColumn("grp", F.when(F.col("state") == 1, "rest").otherwise("none"))
     kind = dict(members.dtypes)["artifact"]
-    rest = _tally(left, "grp").where("count > 0 or reference_count > 0").select("grp", F.lit(None).cast(kind).alias("artifact"), "count", "reference_count")
-    return shown.unionByName(rest)
+    rest = _tally(left, "grp", *cells).where("count > 0 or reference_count > 0").select("grp", F.lit(None).cast(kind).alias("artifact"), *cells, "count", "reference_count")
+    return shown.unionByName(rest) if depth is None else shown.where("count > 0 or reference_count > 0").unionByName(rest)
+
+
+def top_at_cut(rows: DataFrame, members: DataFrame, cut: DataFrame, top: int, depth: int | None = None) -> DataFrame:
+    """The top artifacts of a treed layer at a drawn cut (see trees): ranked are those with nothing drawn beneath them; rest and none
+    count against them."""
+    drawn = cut.where("frontier").select("artifact")
+    return by_artifacts(rows, members.join(drawn, "artifact", "left_semi"), top=top, depth=depth)
+
+
+def answer(rows: DataFrame, groupings: list[dict], members: dict[str, DataFrame] | None = None, cuts: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+    """The tables of a request: its groupings are checked against the limits before anything is planned.
+
+    A grouping: kind (set, values, bins, cells, artifacts), column or layer, and top, named, bins, range, sample, depth as the kind
+    allows. members and cuts: by layer, of what the viewer is served.
+    """
+    check_request(groupings)
+    out = []
+    for g in groupings:
+        if g["kind"] == "set":
+            out.append(set_size(rows))
+        elif g["kind"] == "values":
+            out.append(by_values(rows, g["column"], g.get("top"), g.get("named"), depth=g.get("depth")))
+        elif g["kind"] == "cells":
+            out.append(by_cells(rows, g["depth"]))
+        elif g["kind"] == "bins":
+            kind = dict(rows.dtypes)[g["column"]]
+            edges = range_edges(kind, *g["range"], g["bins"]) if "range" in g else default_edges(rows, g["column"], g["bins"])
+            out.append(sampled_histogram(rows, g["column"], edges, g["sample"]) if "sample" in g else histogram(rows, g["column"], edges))
+        else:
+            held = members[g["layer"]]
+            if "cut" in g:
+                out.append(top_at_cut(rows, held, cuts[g["layer"]], g["top"], g.get("depth")))
+            else:
+                listed = rows.sparkSession.createDataFrame([(a,) for a in g["named"]], f"artifact {dict(held.dtypes)['artifact']}") if "named" in g else None
+                out.append(by_artifacts(rows, held, listed, g.get("top"), g.get("depth")))
+    return out
 
 
 def ranked_artifacts(counts: DataFrame, n: int) -> DataFrame:

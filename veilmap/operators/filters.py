@@ -11,6 +11,8 @@ import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,28 +133,36 @@ def _leaf(f: Field, col: Column, ops: Mapping) -> Column:
             least = ops.get("minimum_should_match", len(words))
             if not words or least > len(words):
                 return F.lit(False)
-            if least == len(words):
-                out = F.lit(True)
-                for w in words:
-                    out = out & F.array_contains(own, w)
-                return out
-            return F.size(F.array_intersect(own, F.array(*map(F.lit, words)))) >= least
+            return _once(own, lambda ts: _held(ts, words, least))
         if op == "phrase":
             words = tokens(value)
-            if not words:
-                return F.lit(False)
-            out = F.lit(True)
-            for w in set(words):
-                out = out & F.array_contains(own, w)
-            if len(words) == 1:
-                return out
-            want, n = F.array(*map(F.lit, words)), len(words)
-            places = F.sequence(F.lit(1), F.size(own) - n + 1)
-            return out & (F.size(own) >= n) & F.exists(places, lambda i: F.slice(own, i, F.lit(n)) == want)
+            return _once(own, lambda ts: _adjacent(ts, words)) if words else F.lit(False)
         raise FilterError(f"a text has no {op}")
     raise FilterError(f"unknown kind {f.kind}")
 
 
+def _once(value: Column, test) -> Column:
+    """A test of a value that names it several times, with the value worked out once for each row."""
+    return F.exists(F.array(value), test)
+
+
+def _held(ts: Column, words: list[str], least: int) -> Column:
+    """Whether at least so many of the words are among the tokens."""
+    if least == len(words):
+        return reduce(and_, (F.array_contains(ts, w) for w in words))
+    return F.size(F.array_intersect(ts, F.array(*map(F.lit, words)))) >= least
+
+
+def _adjacent(ts: Column, words: list[str]) -> Column:
+    """Whether the words stand among the tokens side by side."""
+    every = _held(ts, sorted(set(words)), len(set(words)))
+    n = len(words)
+    if n == 1:
+        return every
+    want = F.array(*map(F.lit, words))
+    return every & (F.size(ts) >= n) & F.exists(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: F.slice(ts, i, F.lit(n)) == want)
+
+
 class Compiler:
     """Turns one filter into a predicate over items (qx, qy, entity and fields), with the joins that it needs."""
 

@@ -13,30 +13,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-REASONS = ("no_position", "duplicate_in_batch", "unknown_id", "id_key_mismatch", "held_by_other", "outside_scope", "unknown_value")
+from ..operators import access
+from ..plans.durable import settled
 
+#: Why a row is refused, in the order in which reasons are given; a label that the writer does not hold comes before all.
+REASONS = ("label_not_held", "unknown_id", "names_two_items", "names_no_item", "value_held", "one_item_twice", "one_value_twice")
 
-def resolve_rows(batch: DataFrame, held: DataFrame, writable: DataFrame | None = None) -> DataFrame:
-    """batch (row, id, key, x, y, ...) with verdict (create, edit, refuse), entity and reason.
 
-    A row names an item by its id, by its unique key, or both if they agree; a key that nobody holds creates one. Of rows that name
-    the same item the first wins. held: entity, key. writable: entities the writer may touch; others are as unknown.
+def _claims(rows: DataFrame) -> DataFrame:
+    """Rows (row, item, value) that stand when decided in order of row: none names an item or sets a value of an earlier one that stands.
+
+    A row stands once it is the first among the undecided ones for all that it claims; those that meet it then fall. So rows are
+    settled for all items at once, and only chains of rows that meet each other in turn take more rounds.
+    """
+    left, stands = settled(rows.select("row", F.array_compact(F.array(F.concat(F.lit("i"), F.col("item").cast("string")), F.concat(F.lit("v"), "value"))).alias("claims"))), None
+    while True:
+        one = left.select("row", F.explode("claims").alias("claim"))
+        first = one.groupBy("claim").agg(F.min("row").alias("first"))
+        held_up = one.join(first, "claim").where("row > first").select("row").distinct()
+        now = settled(left.join(held_up, "row", "left_anti"))
+        stands = now if stands is None else stands.unionByName(now)
+        taken = now.select(F.explode("claims").alias("claim"))
+        fallen = one.join(taken, "claim", "left_semi").select("row").distinct()
+        left = settled(left.join(fallen, "row", "left_anti").join(now.select("row"), "row", "left_anti"))
+        if left.isEmpty():
+            return stands.select("row")
+
+
+def resolve_rows(batch: DataFrame, held: DataFrame, scope: DataFrame | None = None, viewer: access.Viewer | None = None) -> DataFrame:
+    """batch (row, id, key, x, y, [labels], ...) with verdict (create, edit, refuse), entity and reason.
+
+    A row names an item by its id and by its unique key. What names nothing creates an item where the row has a position. Rows
+    are decided in order of row against what was held before and the rows that stand so far; a refused row claims nothing.
+
+    held: entity, key and, where items have moved, number (the id they are named by). scope: entities that the writer may
+    name; any other is as absent, but its key stays taken. viewer: the writer, where rows carry labels that it must hold.
     """
-    own = held if writable is None else held.join(writable.select("entity"), "entity", "left_semi")
-    by_id = own.select(F.col("entity").alias("id"), F.lit(True).alias("id_found"), F.col("key").alias("id_key"))
-    by_key = held.select("key", F.col("entity").alias("holder")).where("key is not null")
-    mine = own.select(F.col("entity").alias("holder"), F.lit(True).alias("mine"))
-    x = batch.join(by_id, "id", "left").join(by_key, "key", "left").join(mine, "holder", "left")
+    every = held.select("entity", "key", F.col("number" if "number" in held.columns else "entity").alias("number"))
+    own = every if scope is None else every.join(scope.select("entity"), "entity", "left_semi")
+    by_id = own.select(F.col("number").alias("id"), F.col("entity").alias("by_id"), F.col("key").alias("stored"))
+    by_key = own.where("key is not null").select("key", F.col("entity").alias("by_key"))
+    taken = every.where("key is not null").select("key", F.lit(True).alias("taken"))
+    x = batch.join(by_id, "id", "left").join(by_key, "key", "left").join(taken, "key", "left")
+    open_ = F.lit(True)
+    if viewer is not None and "labels" in batch.columns:
+        x = access.with_keys(x)
+        open_ = F.col("labels").isNull() | F.exists("keys", lambda k: access.satisfied(k, viewer) | F.lit(viewer.read_all))
+    item = F.coalesce("by_id", "by_key")
+    nowhere = F.col("x").isNull() | F.col("y").isNull()
     reason = (
-        F.when(F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y"), "no_position")
-        .when(F.col("id").isNotNull() & F.col("id_found").isNull(), "unknown_id")
-        .when(F.col("holder").isNotNull() & F.col("mine").isNull(), "outside_scope")
-        .when(F.col("id").isNotNull() & F.col("holder").isNotNull() & (F.col("holder") != F.col("id")), "held_by_other")
+        F.when(~open_, "label_not_held")
+        .when(F.col("id").isNotNull() & F.col("by_id").isNull(), "unknown_id")
+        .when(F.col("by_id") != F.col("by_key"), "names_two_items")
+        .when(item.isNull() & nowhere, "names_no_item")
+        .when(F.col("by_key").isNull() & F.col("taken"), "value_held")
     )
-    x = x.withColumn("reason", reason).withColumn("entity", F.coalesce("id", "holder"))
-    target = F.coalesce(F.concat(F.lit("e"), F.col("entity").cast("string")), F.concat(F.lit("k"), F.col("key")), F.concat(F.lit("r"), F.col("row").cast("string")))
-    first = Window.partitionBy(target, F.col("reason").isNull()).orderBy("row")
-    x = x.withColumn("n", F.row_number().over(first)).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("n") > 1), "duplicate_in_batch").otherwise(F.col("reason")))
+    sets = F.when(F.col("key").isNotNull() & F.col("by_key").isNull(), F.col("key"))
+    x = settled(x.select(*batch.columns, item.alias("entity"), sets.alias("sets_"), reason.alias("reason")))
+    fine = x.where("reason is null")
+    stands = _claims(fine.where("entity is not null or sets_ is not null").select("row", F.col("entity").alias("item"), F.col("sets_").alias("value")))
+    stood = fine.join(stands, "row", "left_semi")
+    items = stood.where("entity is not null").select("entity", F.col("row").alias("item_row"))
+    values = stood.where("sets_ is not null").select("sets_", F.col("row").alias("value_row"))
+    x = x.join(items, "entity", "left").join(values, "sets_", "left")
+    twice = F.when(F.col("item_row") < F.col("row"), "one_item_twice").when(F.col("value_row") < F.col("row"), "one_value_twice")
+    x = x.withColumn("reason", F.coalesce("reason", twice))
     verdict = F.when(F.col("reason").isNotNull(), "refuse").when(F.col("entity").isNotNull(), "edit").otherwise("create")
     return x.withColumn("verdict", verdict).select(*batch.columns, "verdict", F.when(F.col("reason").isNull(), F.col("entity")).alias("entity"), "reason")
 
@@ -55,12 +96,11 @@ def next_entities(created: DataFrame, last: int) -> DataFrame:
 def apply_edits(items: DataFrame, edits: DataFrame, fields: list[str]) -> DataFrame:
     """items after edits: a field that the edit does not name keeps its value, a named null clears it.
 
-    edits: entity, fields, and ``present``, the names of the fields it carries. The last edit of an entity counts for each field.
+    edits: entity, fields, seq and ``present``, the names of the fields it carries. The last edit of an entity counts for each field.
     """
-    order = Window.partitionBy("entity").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marks = [F.last(F.when(F.array_contains("present", f), F.struct(F.col(f).alias("v"))), ignorenulls=True).over(order).alias(f"new_{f}") for f in fields]
-    last = edits.select("entity", *marks).distinct()
-    x = items.join(last, "entity", "left")
+    # an aggregate with a map-side combine: an item with very many edits is no hot task
+    marks = [F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("present", f), F.col("seq"))).alias(f"new_{f}") for f in fields]
+    x = items.join(edits.groupBy("entity").agg(*marks), "entity", "left")
     return x.select(*[F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.v")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in items.columns])
 
 
@@ -143,21 +183,17 @@ def receipt(receipts: DataFrame, principal: str, batch: str, digest: str) -> dic
     return got[0].asDict()
 
 
-def run_ingest(stream: DataFrame, store, principal: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Ingest a stream of rows (batch, row, id, key, x, y, ...) into a store, a segment per micro-batch.
+def run_ingest(stream: DataFrame, store, principal: str, checkpoint: str, trigger: dict | None = None, writer: access.Viewer | None = None) -> StreamingQuery:
+    """Ingest a stream of rows (row, id, key, x, y, ...) into a store, a segment per micro-batch.
 
-    A micro-batch that is run again after a failure finds its receipt and changes nothing.
+    writer: whose items may be named and whose labels may be set; None writes everything. A micro-batch that is run again
+    after a failure finds its receipt and changes nothing.
     """
 
     def take(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         try:
-            digest = batch_digest(rows)
-            if receipt(store.receipts(), principal, f"stream-{number}", digest):
-                return
-            resolved = resolve_rows(rows, store.held())
-            created = next_entities(resolved.where("verdict = 'create'").drop("entity"), store.last_entity())
-            store.flush(created, resolved.where("verdict = 'edit'"), {"principal": principal, "batch": f"stream-{number}", "digest": digest})
+            store.take(rows, principal, f"stream-{number}", writer)
         finally:
             rows.unpersist()
 
