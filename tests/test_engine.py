@@ -153,6 +153,15 @@ def test_rows_are_decided_in_order(spark):
     assert {w[0] for w in want.values()} - {None} == set(ingest.REASONS) - {"label_not_held"}
 
 
+def test_page_by_bytes(spark):
+    from veilmap.operators import records
+
+    rows = made(spark, [(i, float(i), 1.0, ["a"]) for i in range(20)]).withColumn("name", F.lit("x" * 100))
+    assert records.read_items(rows, ["name"], "stored", most_bytes=500).count() == 4
+    assert records.read_items(rows, ["name"], "stored", most_bytes=10).count() == 1
+    assert records.read_items(rows, ["name"], "stored", limit=7).count() == 7
+
+
 def test_declarations(spark):
     df = spark.createDataFrame([(1, "a")], "n bigint, s string")
     assert check_declaration({"n": "bigint", "t": "string"}, df) == ["missing column t", "undeclared column s"]

@@ -39,7 +39,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lambda n: F.pmod("entity", F.lit(n))
     b = b.withColumn("x", F.col("us").cast("double")).withColumn("odate", F.timestamp_micros("us"))
     b = b.withColumn("status", F.when(m(11) != 0, F.when(F.col("letter") == "F", 1).when(F.col("letter") == "O", 2).when(F.col("letter") == "P", 3)))
-    b = b.withColumn("price", F.when(m(17) != 0, F.when(m(13) == 0, F.lit(float("nan"))).otherwise(F.col("y")))).withColumn("whole", F.floor("y").cast("long"))
+    b = b.withColumn("price", F.when(m(17) != 0, F.when(m(13) == 0, F.lit(float("nan"))).otherwise(F.col("y")))).withColumn("whole", F.floor("y").cast("long")).withColumn("large", F.when(m(19) != 0, F.col("y") > 200_000))
     seg = lambda *x: F.array(*x)
     labels = F.when(m(7) == 0, seg(F.lit("public"))).when(m(7) == 1, seg(F.concat("seg", F.lit("&"), "p"))).when(m(7) == 2, seg(F.col("seg"), F.col("p"))).when(m(7) == 3, F.array().cast("array<string>")).otherwise(seg(F.col("seg")))
     return spatial.place(b.withColumn("labels", labels).withColumn("rank", viewport.hashed_rank(F.col("entity"))), FRAME)
@@ -60,6 +60,7 @@ def shown(spark: SparkSession, sf_dir: str, viewer: access.Viewer = VIEWER) -> D
 
 
 SCOPE_FIELDS = {
+    "cust": Field("int"), "large": Field("bool"),
     "status": Field("category", codes=STATUS), "priority": Field("keyword"), "price": Field("float"), "whole": Field("int"), "odate": Field("timestamp"), "key": Field("unique"), "seg": Field("keyword"), "text": Field("text", tokens="tokens"),
 }
 
@@ -110,7 +111,7 @@ ORDERS_SQL = f"""
 base as (select o_orderkey as entity, 'key-' || o_orderkey as key, epoch_us(o_orderdate) as us, o_totalprice as y, c_mktsegment as seg, 'p' || substr(o_orderpriority, 1, 1) as p,
     c_nationkey as nation, o_custkey as cust, o_orderstatus as letter, o_orderpriority as priority from orders left join customer on o_custkey = c_custkey),
 o1 as (select *, cast(us as double) as x, case when entity % 11 <> 0 then case letter when 'F' then 1 when 'O' then 2 when 'P' then 3 end end as status,
-    case when entity % 17 <> 0 then case when entity % 13 = 0 then 'nan'::double else y end end as price, cast(floor(y) as bigint) as whole,
+    case when entity % 17 <> 0 then case when entity % 13 = 0 then 'nan'::double else y end end as price, cast(floor(y) as bigint) as whole, case when entity % 19 <> 0 then y > 200000 end as large,
     cast('0x' || substr(md5('k' || entity), 1, 15) as bigint) as rank from base),
 items as (select *, {fixed_sql("x", FRAME.min_x, FRAME.max_x)} as qx, {fixed_sql("y", FRAME.min_y, FRAME.max_y)} as qy from o1)"""
 

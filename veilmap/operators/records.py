@@ -6,14 +6,16 @@ import base64
 import hashlib
 import hmac
 import json
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spatial
 from . import access
 
-PAGE_ROWS = 100_000
+PAGE_ROWS, PAGE_BYTES = 100_000, 64 << 20
 ORDERS = ("map", "stored")
 
 
@@ -39,9 +41,11 @@ def unseal(cursor: str, binding: str, secret: bytes) -> dict:
     return json.loads(body)
 
 
-def read_items(visible: DataFrame, fields: list[str], order: str = "map", after: tuple | None = None, limit: int = PAGE_ROWS, matched: str | None = None, keep_unmatched: bool = False, frame: spatial.Frame | None = None) -> DataFrame:
+def read_items(visible: DataFrame, fields: list[str], order: str = "map", after: tuple | None = None, limit: int = PAGE_ROWS, matched: str | None = None, keep_unmatched: bool = False, frame: spatial.Frame | None = None, most_bytes: int = PAGE_BYTES) -> DataFrame:
     """A page of items: id, fields, position and labels, in map order (cell, then rank) or stored order (entity).
 
+    A page ends at ``limit`` rows or before the row that takes its values past most_bytes, but holds one row at least.
+
     matched names a boolean column; unmatched rows are left out, or kept with the column ``matched``. after is the last row's
     order values: (cell, rank) or (entity,). The page resumes by value, so rewrites of the files do not move it.
     """
@@ -61,7 +65,15 @@ def read_items(visible: DataFrame, fields: list[str], order: str = "map", after:
     if keep_unmatched and matched:
         cols.append(F.col(matched).alias("matched"))
     # a top-k per partition, then of those: no full sort for a page
-    return x.orderBy(*keys).limit(limit).select(*cols, *[F.col(k).alias(f"order_{k}") for k in keys])
+    page = x.orderBy(*keys).limit(limit).select(*cols, *[F.col(k).alias(f"order_{k}") for k in keys])
+    sized = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in page.dtypes if kind in ("string", "binary") or "<" in kind]
+    fixed = 8 * (len(page.columns) - len(sized))
+    if not sized and limit * fixed <= most_bytes:
+        return page
+    # at most ``limit`` rows meet in one task
+    upto = F.sum(reduce(add, sized, F.lit(fixed))).over(Window.orderBy(*[f"order_{k}" for k in keys]).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.row_number().over(Window.orderBy(*[f"order_{k}" for k in keys]))
+    return page.withColumn("upto_", upto).withColumn("place_", place).where((F.col("upto_") <= most_bytes) | (F.col("place_") == 1)).drop("upto_", "place_")
 
 
 def head_counts(rows: DataFrame, matched: str) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = Path(tempfile.mkdtemp(prefix="veilmap-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir, so that a lost executor costs no earlier round."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df, computed once and written to the shared folder, so that a lost executor costs no earlier round."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            found = Path(tempfile.mkdtemp(prefix="veilmap-")).as_uri()
-        sc.setCheckpointDir(found)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,17 @@ def mercator(spark, d):
     return p.select("event_id", F.round("mx", 9).alias("mx"), F.round("my", 9).alias("my"), F.round("ey", 9).alias("ey"), F.round(spatial.inverse("web_mercator", F.col("mx"), F.col("my"))[1], 6).alias("lat_back"))
 
 
+@query(f"with ll as ({_LL}) select event_id as entity from ll where (lon between -20 and 70 and lat between -35 and 61) or (lon between 100 and 130 and abs(lat) <= 85 and lat >= 10)")
+def f_region_wgs84(spark, d):
+    """A box in degrees, and a polygon whose sides are meridians and parallels, over items on a Mercator plane."""
+    unit = spatial.Frame(0.0, 0.0, 1.0, 1.0)
+    x, y = spatial.forward("web_mercator", F.col("lon"), F.col("lat"))
+    items = spatial.place(_lonlat(spark, d).where("abs(lat) <= 85").select(F.col("event_id").alias("entity"), x.alias("x"), y.alias("y")), unit)
+    ring = [[100.0, 10.0], [130.0, 10.0], [130.0, 85.0], [100.0, 85.0]]
+    either = {"any_of": [{"region": {"space": "wgs84", "bbox": [-20, -35, 70, 61]}}, {"region": {"space": "wgs84", "polygon": [ring]}}]}
+    return filters.matching(items, either, filters.Scope({}, frame=unit, projection="web_mercator")).select("entity")
+
+
 @query("select count(*) filter (where epoch_us(o_orderdate) < 883612800000000 or epoch_us(o_orderdate) > 946684800000000 or o_totalprice < 50000 or o_totalprice > 200000) as moved, count(*) as items from orders")
 def clip_report(spark, d):
     frame = spatial.Frame(883612800000000.0, 50_000.0, 946684800000000.0, 200_000.0)
@@ -192,7 +204,9 @@ _filter("f_keyword_eq", {"priority": {"eq": "1-URGENT"}}, "priority = '1-URGENT'
 _filter("f_keyword_in", {"priority": {"in": ["1-URGENT", "5-LOW"]}}, "priority in ('1-URGENT', '5-LOW')")
 _filter("f_prefix", {"priority": {"prefix": "4-"}}, "priority like '4-%'")
 _filter("f_contains", {"priority": {"contains": "IG"}}, "priority like '%IG%'")
-_filter("f_number_eq", {"whole": {"in": [10, "150000"]}}, "whole in (10, 150000)")
+_filter("f_number_eq", {"any_of": [{"cust": {"in": [*range(1, 40), "77"]}}, {"cust": {"eq": 100}}, {"whole": {"eq": "150000"}}]}, "cust between 1 and 39 or cust in (77, 100) or whole = 150000")
+_filter("f_bool_eq", {"large": {"eq": True}}, "coalesce(large, false)")
+_filter("f_date_eq", {"odate": {"in": [f"1997-01-{d:02}T00:00:00Z" for d in range(1, 32)]}}, "us in (" + ", ".join(str(852076800000000 + i * 86400000000) for i in range(31)) + ")")
 _filter("f_range", {"price": {"range": {"gte": 50000, "lt": 150000}}}, "price >= 50000 and price < 150000 and not isnan(price)")
 _filter("f_range_nan", {"price": {"range": {"gt": 100000}}}, "price > 100000 and not isnan(price)")
 _filter("f_date_range", {"odate": {"range": {"gte": "1997-01-01T00:00:00Z", "lt": "1998-01-01T00:00:00Z"}}}, "us >= 852076800000000 and us < 883612800000000")
@@ -203,7 +217,8 @@ _filter("f_tree", {"all_of": [{"any_of": [{"status": {"eq": "F"}}, {"priority":
 _filter("f_empty_all", {"all_of": []}, "true")
 _filter("f_empty_any", {"any_of": []}, "false")
 _filter("f_bbox", {"region": {"bbox": _BOX}}, f"qx between {_A[0]} and {_B[0]} and qy between {_A[1]} and {_B[1]}")
-_filter("f_circle", {"region": {"circle": {"centre": _C, "radius": 60_000.0}}}, _ellipse_sql(*_C, 60_000.0, 60_000.0))
+# on this plane of microseconds and prices a circle that holds anything takes in all prices near its middle
+_filter("f_circle", {"region": {"circle": {"centre": _C, "radius": 300.0 * fx.DAY}}}, _ellipse_sql(*_C, 300.0 * fx.DAY, 300.0 * fx.DAY))
 _filter("f_ellipse", {"region": {"ellipse": {"centre": _C, "a": 100.0 * fx.DAY * 5, "b": 90_000.0}}}, _ellipse_sql(*_C, 500.0 * fx.DAY, 90_000.0))
 _filter("f_polygon", {"region": {"polygon": [_P]}}, _polygon_sql(_G))
 _filter("f_wkt", {"region": {"wkt": _WKT}}, _polygon_sql(_G))
@@ -433,6 +448,15 @@ def hist_auto(spark, d):
     return aggregate.histogram(x, "price", aggregate.default_edges(x, "price", 12)).where("count > 0 or reference_count > 0")
 
 
+@query(f"""with {SHOWN_SQL}, {_SETS}, e as (select min(whole) as a, max(whole) as b from sets),
+w as (select step from e, (select cast(lead * pow(10, p) as bigint) as step from (values (1.0), (2.0), (2.5), (5.0)) l(lead), range(0, 9) r(p) where lead * pow(10, p) = floor(lead * pow(10, p))) where b // step - a // step < 9 order by 1 limit 1),
+h as (select cast(whole // step - a // step as int) as ord, step, a, in_set, in_ref from sets, e, w)
+select ord, 'bin' as grp, (a // step + ord) * step as lower, (a // step + ord + 1) * step as upper, {_AGG} from h group by ord, step, a""")
+def hist_ints_auto(spark, d):
+    x = _sets(spark, d)
+    return aggregate.histogram(x, "whole", aggregate.default_edges(x, "whole", 9)).where("count > 0 or reference_count > 0")
+
+
 @query(f"""with {SHOWN_SQL}, {_SETS}, m as (select *, year(make_timestamp(us)) * 12 + month(make_timestamp(us)) - 1 as mon from sets), e as (select min(mon) as a, max(mon) as b from m),
 w as (select k from e, (values (1), (2), (3), (6), (12), (24), (60), (120)) s(k) where b // k - a // k < 20 order by 1 limit 1)
 select cast(mon // k - a // k as int) as ord, 'bin' as grp, epoch_us(make_timestamp(cast((mon // k) * k // 12 as bigint), cast((mon // k) * k % 12 + 1 as bigint), 1, 0, 0, 0)) as lower,
@@ -673,7 +697,7 @@ def cat_derived(spark, d):
     return categories.listable(_vocabulary(spark, d), x, "nation").select("code", "key")
 
 
-@query(f"with {_VOC} select code, key, 2 as kind from voc where 'brand#1' = substr(lower(key), 1, 7) and false union all select code, key, 0 from voc where lower(key) like 'brand#1%'")
+@query(f"with {_VOC} select code, key, 0 as kind from voc where lower(key) like 'brand#1%'")
 def suggest(spark, d):
     return categories.suggest(categories.entry_table(_vocabulary(spark, d)), "BRAND#1", 50).select("code", "key", "kind")
 
@@ -684,6 +708,11 @@ def suggest_counts(spark, d):
     return categories.suggest(categories.entry_table(_vocabulary(spark, d)), "line", 100, x, "nation", x.where("matched")).select("code", "key", "count", "total")
 
 
+@query(f"with {_VOC}, h as (select code, key, row_number() over (order by lower(key), key) as place, count(*) over () as n from voc where lower(key) like 'brand#%') select code, key, n > 4 as more from h where place <= 4")
+def suggest_more(spark, d):
+    return categories.suggest(categories.entry_table(_vocabulary(spark, d)), "Brand#", 4).select("code", "key", "more")
+
+
 # --- records ------------------------------------------------------------------------------------------
 
 
@@ -803,6 +832,31 @@ def compact(spark, d):
     return ingest.compact(fx.orders(spark, d), fx.overlay(spark, d)[0])[0].select("entity", "rank")
 
 
+@query("""with c as (select *, c_custkey % 5 = 0 as edited, c_custkey % 3 = 0 as moved, c_custkey % 35 = 0 as gone from customer)
+select 'c' || c_custkey as key, case when edited and moved then 1.0 else cast(c_custkey % 90 as double) end as x, case when edited and moved then 2.0 else cast(c_custkey % 70 as double) end as y,
+  case when edited then null else c_name end as name, c_acctbal as balance, c_mktsegment as label from c where not gone""")
+def store_flow(spark, d):
+    """A store through a batch that creates, one that edits, its repetition, deletions, a merge and a compaction."""
+    from .plans.durable import shared_folder
+    from .plans.store import Store
+
+    store = Store(spark, f"{shared_folder(spark)}/veilmap-store-{uuid.uuid4().hex}", spatial.Frame(0.0, 0.0, 100.0, 100.0), "name string, balance double")
+    c = fx.read(spark, d, "customer")
+    n = lambda k: F.col("c_custkey") % k
+    head = [F.col("c_custkey").alias("row"), F.lit(None).cast("long").alias("id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key")]
+    made = c.select(*head, n(90).cast("double").alias("x"), n(70).cast("double").alias("y"), F.array("c_mktsegment").alias("labels"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    edits = c.where(n(5) == 0).select(*head, F.when(n(3) == 0, 1.0).alias("x"), F.when(n(3) == 0, 2.0).alias("y"), F.lit(None).cast("string").alias("name"))
+    for i in range(3):  # four parts of a size, which a merge takes together
+        store.take(made.where(n(3) == i), "q", f"made-{i}")
+    store.take(edits, "q", "edits")
+    if store.take(edits, "q", "edits") is not None:
+        raise RuntimeError("a batch was taken twice")
+    store.change(store.items().where("cast(substr(key, 2) as bigint) % 35 = 0"), "delete")
+    store.merge()
+    store.compact()
+    return store.items().select("key", "x", "y", "name", "balance", F.col("labels")[0].alias("label"))
+
+
 @query("with p as (select l_orderkey as entity, l_returnflag as view from lineitem) select distinct entity from p where view = 'R' and entity not in (select entity from p where view <> 'R')")
 def drop_view(spark, d):
     p = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("view"))
