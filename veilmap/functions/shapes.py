@@ -169,40 +169,35 @@ def from_wkb(data: bytes) -> list[list[Ring]]:
 
 
 def simplify(ring: Sequence[tuple[int, int]], zoom: int | None = None, most: int = 2048) -> list[tuple[int, int]]:
-    """A ring of at most ``most`` points: points nearer to the line than the zoom's tolerance go, coarser if too many stay."""
-    tolerance = 0.0 if zoom is None else SIDE / 2.0 ** (zoom + 10)
-
-    def keep(lo: int, hi: int, t: float, out: set[int]) -> None:
-        stack = [(lo, hi)]
-        pts = np.asarray(ring, np.float64)
-        while stack:
-            a, b = stack.pop()
-            if b - a < 2:
-                continue
-            d = pts[b] - pts[a]
-            n = math.hypot(*d)
-            v = pts[a + 1 : b] - pts[a]
-            off = np.abs(d[0] * v[:, 1] - d[1] * v[:, 0]) / n if n else np.hypot(v[:, 0], v[:, 1])
-            i = int(off.argmax())
-            if off[i] > t:
-                out.add(a + 1 + i)
-                stack += [(a, a + 1 + i), (a + 1 + i, b)]
-
-    if len(ring) <= 3:
-        return list(ring)
-    far = max(range(len(ring)), key=lambda i: math.dist(ring[0], ring[i]))
-    while True:
-        out = {0, far}
-        if tolerance == 0 and len(ring) <= most:
-            return list(ring)
-        keep(0, far, tolerance, out)
-        tail = list(range(far, len(ring)))
-        sub: set[int] = set()
-        keep(far, len(ring) - 1, tolerance, sub)
-        out |= sub | ({tail[-1]} if tail else set())
-        if len(out) <= most:
-            return [ring[i] for i in sorted(out)]
-        tolerance = max(1.0, tolerance * 2)
+    """A ring of at most ``most`` points: corners of the smallest triangles go first, those below a pixel of the zoom and as many more as needed.
+
+    A corner's weight is the area of the triangle with its neighbours, and at least that of any neighbour that went before it.
+    """
+    n = len(ring)
+    least = 0.0 if zoom is None else (SIDE / 2.0 ** (zoom + 10)) ** 2
+    before, after = [i - 1 for i in range(n)], [i + 1 for i in range(n)]
+    before[:1], after[-1:] = [n - 1], [0]
+
+    def area(i: int) -> float:
+        return abs(_turn(ring[before[i]], ring[i], ring[after[i]])) / 2
+
+    weight = [area(i) for i in range(n)]
+    queue = [(w, i) for i, w in enumerate(weight)]
+    heapq.heapify(queue)
+    left = n
+    while queue and left > 3:
+        w, i = heapq.heappop(queue)
+        if w != weight[i]:
+            continue  # weighed anew since
+        if w >= least and left <= most:
+            break
+        weight[i], left = -1.0, left - 1
+        a, b = before[i], after[i]
+        after[a], before[b] = b, a
+        for j in (a, b):
+            weight[j] = max(w, area(j))
+            heapq.heappush(queue, (weight[j], j))
+    return [p for p, w in zip(ring, weight, strict=True) if w >= 0]
 
 
 def convex_hull(points: np.ndarray) -> list[tuple[int, int]]:
@@ -335,3 +330,40 @@ def concave_rings(points: np.ndarray, budget: int = 2048, reach: float = 2.0) ->
         ask(r, c, b)
         budget -= 1
     return sorted(x.ring() for x in rings)
+
+
+def neighbours(points: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs of points that a Delaunay triangulation joins; equal points are joined to the first of them.
+
+    Points are put in one by one: triangles whose circle holds the new point go, and their outline is joined to it.
+    """
+    low = points.min(axis=0) if len(points) else 0
+    scale = max(1e-300, float(np.ptp(points, axis=0).max())) if len(points) else 1.0
+    unit = (points - low) / scale
+    _, first, at = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+    out = {tuple(sorted((int(first[g]), i))) for i, g in enumerate(at.ravel().tolist()) if first[g] != i}
+    n = len(unit)
+    xy = np.concatenate([unit.reshape(-1, 2), [[-1e4, -1e4], [1e4, -1e4], [0.5, 2e4]]])
+    corners = np.array([[n, n + 1, n + 2]])
+
+    def circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, c = xy[t[:, 0]], xy[t[:, 1]] - xy[t[:, 0]], xy[t[:, 2]] - xy[t[:, 0]]
+        d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+        bb, cc = (b**2).sum(axis=1), (c**2).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = np.stack([(c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d], axis=1)
+        flat = np.abs(d) < 1e-14
+        return np.where(flat[:, None], a, a + u), np.where(flat, np.inf, (u**2).sum(axis=1))
+
+    centre, radius = circles(corners)
+    for i in sorted(first.tolist()):
+        hit = ((xy[i] - centre) ** 2).sum(axis=1) <= radius * (1 + 1e-12)
+        edges = np.sort(np.concatenate([corners[hit][:, [0, 1]], corners[hit][:, [1, 2]], corners[hit][:, [2, 0]]]), axis=1)
+        edges, times = np.unique(edges, axis=0, return_counts=True)
+        outline = edges[times == 1]
+        new = np.concatenate([outline, np.full((len(outline), 1), i)], axis=1)
+        c, r = circles(new)
+        corners, centre, radius = np.concatenate([corners[~hit], new]), np.concatenate([centre[~hit], c]), np.concatenate([radius[~hit], r])
+    for t in corners.tolist():
+        out |= {tuple(sorted(e)) for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])) if max(e) < n}
+    return out

@@ -52,8 +52,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def write_ipc(df: DataFrame, path: str) -> None:
-    """One Arrow IPC file of a page (bounded by the page's own limit)."""
-    table = df.toArrow()
+def write_ipc(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One Arrow IPC file of a page of at most ``most`` rows; more is refused, and belongs into write_parquet."""
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"a page holds {most} rows at most")
     with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
         w.write_table(table)
