@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def n_words(text) -> F.Column:
 
 
 #: What a worker keeps of words that come again.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 32 << 20
 
 
 class Kept:
@@ -144,6 +146,17 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches again, in batches of about limit bytes of text (a longer text stands alone)."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(size) // limit
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(upto)) + 1, [b.num_rows]]).tolist()
+        for a, c in zip(cuts, cuts[1:], strict=False):
+            if c > a:
+                yield b.slice(a, c - a)
+
+
 def blocks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts as bytes, about limit bytes at a time (a longer text stands alone), with the first one's index."""
     first, out, size = 0, [], 0

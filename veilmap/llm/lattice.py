@@ -337,7 +337,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in common.portions(batches):
             got = enc.encode([x or "" for x in b.column("text").to_pylist()])
             ids = [np.frombuffer(x, np.int32) for x in got]
             off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -353,7 +353,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in common.portions(batches):
             texts = [x or "" for x in b.column("text").to_pylist()]
             got = enc.encode(texts)
             same = [enc.decode(np.frombuffer(x, np.int32)) == t for x, t in zip(got, texts, strict=True)]

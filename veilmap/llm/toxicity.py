@@ -114,12 +114,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11, epochs: int = 30
     docs: list[np.ndarray] = []
     for _, parts in common.blocks([(t or "").lower() for t in texts]):
         f, firsts = features(parts)
-        docs += np.split(f, firsts[1:-1])
+        docs += [d.copy() for d in np.split(f, firsts[1:-1])]
     seen = [np.unique(d) for d in docs]
+    lab = np.repeat(y > 0, [len(s) for s in seen])
     every = np.concatenate(seen)
-    lab = np.repeat(y, [len(s) for s in seen])
+    del seen
     keys, inv, df = np.unique(every, return_inverse=True, return_counts=True)
-    pos = np.bincount(inv, weights=lab, minlength=len(keys))
+    pos = np.bincount(inv[lab], minlength=len(keys)).astype(np.float64)
+    del every, inv, lab
     keep = (df >= MIN_DOCS) & (keys != 0)
     keys, df, pos = keys[keep], df[keep], pos[keep]
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -135,19 +137,23 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11, epochs: int = 30
     bias = [np.full(FILTERS, -0.05) for _ in WIDTHS]
     out, out_b = np.full(len(WIDTHS) * FILTERS, 0.5), np.zeros(1)
     model = Model(keys, emb, filters, np.array(bias), out, 0.0)
-    rows = [model.rows(d) for d in docs]
+    alive: list[np.ndarray] = []  # unknown words are zero everywhere: training skips them
+    for i, d in enumerate(docs):
+        r = model.rows(d)
+        alive.append(r[r.any(axis=1)].astype(np.int32))
+        docs[i] = d[:0]  # the features go as their rows come
     params = {"emb": emb, "out": out, "out_b": out_b} | {f"f{k}": f for k, f in enumerate(filters)} | {f"b{k}": b for k, b in enumerate(bias)}
     m1 = {k: np.zeros_like(v) for k, v in params.items()}
     m2 = {k: np.zeros_like(v) for k, v in params.items()}
     weight = np.where(y > 0, min(4.0, n0 / n1), 1.0)
-    step, alive = 0, [r[r.any(axis=1)] for r in rows]  # unknown words are zero everywhere: training skips them
+    step = 0
     pad = max(WIDTHS) - 1
     for epoch in range(epochs):
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
             step += 1
             size = np.array([len(alive[i]) + pad for i in batch])
             begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-            flat = np.zeros((size.sum(), rows[0].shape[1]), np.int64)
+            flat = np.zeros((size.sum(), 1 + len(PREFIXES)), np.int64)
             for b, i in zip(begin, batch, strict=True):
                 flat[b : b + len(alive[i])] = alive[i]
             x = emb[flat].sum(axis=1)
@@ -196,20 +202,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, calibrate: b
     chosen = common.materialise(chosen, "toxic-labels")
     common.prepare(docs.sparkSession)
 
-    def run(table: pa.Table) -> pa.Table:
-        got = sorted(zip(*(table[c].to_pylist() for c in ("doc_id", "text", "lang", "toxic")), strict=True), key=lambda r: (r[0], r[1] or ""))
-        made = thresholds_of(got) if table["fold"][0].as_py() else train([r[1] or "" for r in got], np.array([r[3] for r in got]))
-        return pa.table({"fold": table["fold"][:1], "fitted": pa.array([pickle.dumps(made)], pa.binary())})
+    def run(batches):
+        got = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "toxic")), strict=True)), key=lambda r: (r[0], r[1] or ""))
+        if got:
+            made = train([r[1] or "" for r in got], np.array([r[3] for r in got])), thresholds_of(got) if calibrate else {}
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["fitted"])
 
-    # most rows and TRAIN_CHARS characters at most, in one task for each fit: the driver gets what is fitted alone
+    # most rows and TRAIN_CHARS characters at most, in one task: the driver gets what is fitted alone
     own = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS // 64)
     own = own.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("doc_id", "r.*")
     own = common.materialise(own, "toxic-rows")
     upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = own.join(F.broadcast(own.select("doc_id", upto.alias("upto")).where(F.col("upto") <= TRAIN_CHARS).select("doc_id")), "doc_id", "left_semi")
-    folds = rows.withColumn("fold", F.explode(F.array(*map(F.lit, (0, 1) if calibrate else (0,)))))
-    made = {r["fold"]: pickle.loads(bytes(r["fitted"])) for r in folds.groupBy("fold").applyInArrow(run, "fold int, fitted binary").collect()}
-    return made.get(0), made.get(1, {})
+    made = rows.select("doc_id", "text", "lang", "toxic").repartition(1).mapInArrow(run, "fitted binary").first()
+    return pickle.loads(bytes(made["fitted"])) if made else (None, {})
 
 
 def thresholds_of(rows: list[tuple]) -> dict[str, float]:
@@ -240,7 +246,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in common.portions(batches):
             m = shared.value
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             got = [m.score(p) for _, p in common.blocks([(x or "").lower() for x in texts])] if m else [np.zeros(len(texts))]
