@@ -191,8 +191,10 @@ def test_topk_odd(spark):
     assert by_query(exact_topk.top_products(zero, F.col("vec_id") == 0, 5, 1.0)) == {0: [(1, 0), (2, 0)]}
 
 
-def test_topk_buckets(spark, monkeypatch):
-    """Many buckets, most of which a block of queries never meets."""
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_topk_buckets(spark, monkeypatch, most):
+    """Many buckets, most of which a block of queries never meets; tasks that keep little pass on more."""
+    monkeypatch.setattr(vectors, "MOST_FOUND", most)
     monkeypatch.setattr(vectors, "BLOCK", 20)
     r = np.random.default_rng(8)
     x = {i: (r.normal(size=6) * 3.0 ** r.integers(0, 6)).round(2) for i in range(900)}

@@ -187,7 +187,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, **settings) -> DataFrame:
         blocks, _ = vectors.with_blocks(common.materialise(routed(queries, routers, visit), "ann-sent"), cell, vectors.QUERIES, "qblock")
         sent = vectors.packed(blocks, [*cell, "qblock"], "queries").join(n, cell).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         pairs = sent.join(items, [*cell, "block"]).select("queries", "items")
-        return common.materialise(vectors.best(vectors.search(pairs, lambda *a: vectors.top_of_block(*a, k), "double"), k), "ann-found")
+        return common.materialise(vectors.best(vectors.search(pairs, lambda *a: vectors.top_of_block(*a, k), "double", k), k), "ann-found")
 
     first = found(asked, None)
     full = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))

@@ -123,7 +123,7 @@ def top_products(rows: DataFrame, is_query, k: int = K, scale: float = SCALE) ->
         cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("blocks"), F.lit(some or (1 << 30))).cast("long") - 1))).drop("blocks")
         return cells.join(blocks.drop("upto"), "qblock").join(items, ["bucket", "block"])
 
-    seeds = vectors.best(vectors.search(against(sent.withColumn("upto", F.lit(1)), 2).select("queries", "items"), lambda *a: block_topk(*a, None, k), "bigint"), k)
+    seeds = vectors.best(vectors.search(against(sent.withColumn("upto", F.lit(1)), 2).select("queries", "items"), lambda *a: block_topk(*a, None, k), "bigint", k), k)
     bound = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("b"))
     per = asked.join(bound, "vec_id", "left").withColumn("need", F.when(F.col("size") > 0, F.col("b") / F.col("size")))
     per = per.groupBy("qblock").agg(
@@ -136,7 +136,7 @@ def top_products(rows: DataFrame, is_query, k: int = K, scale: float = SCALE) ->
         upto = F.coalesce(F.array_max(F.transform(F.filter(reach, lambda r: r["longest"] * (1 + 1e-9) >= F.col("need")), lambda r: r["bucket"])), F.lit(0)) + 1
     sent = common.materialise(sent.join(per.withColumn("upto", upto).drop("need"), "qblock"), "topk-bounded")
     pairs = against(sent, None).repartition("qblock", "bucket", "block").select("queries", "items", "bounds")
-    found = vectors.search(pairs, lambda a, b, c, d, e: block_topk(a, b, c, d, dict(e or []), k), "bigint")
+    found = vectors.search(pairs, lambda a, b, c, d, e: block_topk(a, b, c, d, dict(e or []), k), "bigint", k)
     return vectors.best(found, k)
 
 

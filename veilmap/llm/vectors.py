@@ -52,18 +52,46 @@ def matrices(items: pa.Array, i: int) -> dict[int, tuple[np.ndarray, np.ndarray]
     return {int(n): (ids[size == n], flat[where == n].reshape(-1, n) if n else np.zeros((int((size == 0).sum()), 0), flat.dtype)) for n in np.unique(size)}
 
 
-def search(pairs: DataFrame, find: Callable, kind: str) -> DataFrame:
-    """(query_id, vec_id, score) that find gives for each row (queries, items) of pairs; only vectors of one length meet."""
+#: Found rows that a task keeps before it passes on what is no more than each query's k best.
+MOST_FOUND = 1 << 20
+
+
+def merged(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query among (query_id, vec_id, score) columns."""
+    qid, vid, score = (np.concatenate([f[c] for f in found]) for c in range(3))
+    order = np.lexsort((vid, -score, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    keep = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
+    return qid[keep], vid[keep], score[keep]
+
+
+def search(pairs: DataFrame, find: Callable, kind: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score) that find gives for each row (queries, items) of pairs; only vectors of one length meet.
+
+    A task merges what its rows give, so what leaves it follows its queries and not the blocks that they met.
+    """
+
+    def batch(found: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64() if kind == "double" else pa.int64())], ["query_id", "vec_id", "score"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
             for i in range(b.num_rows):
                 asked, there = matrices(b.column("queries"), i), matrices(b.column("items"), i)
                 more = [b.column(c)[i].as_py() for c in b.schema.names if c not in ("queries", "items")]
                 for n in asked.keys() & there.keys():
                     got = find(*asked[n], *there[n], *more)
-                    if len(got[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64() if kind == "double" else pa.int64())], ["query_id", "vec_id", "score"])
+                    held.append(got)
+                    size += len(got[0])
+                if size > MOST_FOUND:
+                    held = [merged(held, k)]
+                    size = len(held[0][0])
+                    if size > MOST_FOUND // 2:
+                        yield batch(held.pop())
+                        size = 0
+        if size:
+            yield batch(merged(held, k))
 
     return pairs.mapInArrow(run, FOUND.format(kind))
 
