@@ -26,18 +26,20 @@ def _claims(rows: DataFrame) -> DataFrame:
     A row stands once it is the first among the undecided ones for all that it claims; those that meet it then fall. So rows are
     settled for all items at once, and only chains of rows that meet each other in turn take more rounds.
     """
-    left, stands = settled(rows.select("row", F.array_compact(F.array(F.concat(F.lit("i"), F.col("item").cast("string")), F.concat(F.lit("v"), "value"))).alias("claims"))), None
+    left = rows.select("row", F.array_compact(F.array(F.concat(F.lit("i"), F.col("item").cast("string")), F.concat(F.lit("v"), "value"))).alias("claims"))
+    stands = None
     while True:
         one = left.select("row", F.explode("claims").alias("claim"))
         first = one.groupBy("claim").agg(F.min("row").alias("first"))
-        held_up = one.join(first, "claim").where("row > first").select("row").distinct()
-        now = settled(left.join(held_up, "row", "left_anti"))
-        stands = now if stands is None else stands.unionByName(now)
+        held_up = one.join(first, "claim").where("row > first").select("row").distinct().withColumn("waits", F.lit(True))
+        told = settled(left.join(held_up, "row", "left").withColumn("waits", F.coalesce("waits", F.lit(False))))
+        now, left = told.where("not waits").drop("waits"), told.where("waits").drop("waits")
+        stands = now.select("row") if stands is None else stands.unionByName(now.select("row"))
         taken = now.select(F.explode("claims").alias("claim"))
-        fallen = one.join(taken, "claim", "left_semi").select("row").distinct()
-        left = settled(left.join(fallen, "row", "left_anti").join(now.select("row"), "row", "left_anti"))
+        fallen = left.select("row", F.explode("claims").alias("claim")).join(taken, "claim", "left_semi").select("row").distinct()
+        left = left.join(fallen, "row", "left_anti")
         if left.isEmpty():
-            return stands.select("row")
+            return stands
 
 
 def resolve_rows(batch: DataFrame, held: DataFrame, scope: DataFrame | None = None, viewer: access.Viewer | None = None) -> DataFrame:
