@@ -879,6 +879,35 @@ def json_rows(spark, d):
     return readers.from_json(fx.read(spark, d, "events").select("event_id", "props"), "props", "k bigint").select("event_id", "k")
 
 
+@query(f"select c_custkey as id, {fixed_sql('c_acctbal', -1000.0, 10000.0)} as qx, {fixed_sql('c_nationkey', 0.0, 25.0)} as qy from customer")
+def point_source(spark, d):
+    """A Parquet table of points under other names, placed on the grid."""
+    from .sources import readers
+
+    p = readers.points(spark, f"{d}/customer.parquet", {"id": "c_custkey", "x": "c_acctbal", "y": "c_nationkey"})
+    return spatial.place(p, spatial.Frame(-1000.0, 0.0, 10000.0, 25.0)).select("id", "qx", "qy")
+
+
+@query("select unnest(['missing column c_phone', 'column c_name is string, declared int', 'undeclared column c_nationkey', 'undeclared column c_acctbal', 'undeclared column c_mktsegment']) as finding")
+def source_check(spark, d):
+    """A source's schema against its declaration; no row is read."""
+    from .plans.store import check_declaration
+
+    found = check_declaration({"c_custkey": "bigint", "c_phone": "string", "c_name": "int"}, fx.read(spark, d, "customer"))
+    return spark.createDataFrame([(x,) for x in found], "finding string")
+
+
+@query("select n_nationkey as key, n_name as name, n_regionkey as region from nation")
+def arrow_source(spark, d):
+    """Rows given as an Arrow table."""
+    import pyarrow as pa
+
+    from .sources import readers
+
+    rows = fx.read(spark, d, "nation").limit(1000).toArrow()  # a dimension
+    return readers.from_arrow(spark, pa.table({"key": rows["n_nationkey"], "name": rows["n_name"], "region": rows["n_regionkey"]}))
+
+
 @query("select distinct 'n' || c_nationkey as artifact, o_orderkey as entity from orders join customer on o_custkey = c_custkey where c_acctbal > 5000")
 def member_table(spark, d):
     from .sources import readers
