@@ -37,6 +37,19 @@ def test_chat_sql(spark, sf):
     compare(chat.op1_chat_formatting(spark, sf), chat.OP1_SQL, sf)
 
 
+def test_chat_null_turns(spark, tmp_path):
+    """A null turn comes first, in the query and in its SQL."""
+    rows = [(1, 1, "user", "b"), (1, None, "user", "z"), (1, 2, "assistant", "c"), (1, None, "assistant", None), (2, None, None, None), (2, 0, "assistant", "x <|im_end|>")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cols = "conv_id, n_turns, turns_sha256, loss_chars, loss_sha256"
+    want = sorted(con.execute(f"select {cols} from ({chat.OP1_SQL})").fetchall())
+    assert sorted(map(tuple, chat.op1_chat_formatting(spark, str(tmp_path)).selectExpr(*cols.split(", ")).collect())) == want
+
+
 def test_chat_trees(spark):
     rows = [(1, i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i}<|im_end|>\\", 1.0) for i in range(70)]
     rows += [(1, 100, 68, "assistant", "better", 9.0), (2, 1, 99, None, None, None), (3, 1, 2, "u", "c", 0.0), (3, 2, 1, "u", "c", 0.0), (3, 3, 2, "u", "c", 0.0)]

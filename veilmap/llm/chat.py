@@ -8,7 +8,8 @@ else.
 
 Defined results: null text or role is the empty string; null scores count 0; nodes whose parent is missing are roots;
 nodes on a cycle of parents belong to no root-to-leaf path and take no part; equal scores go to the smaller leaf; an
-empty table gives an empty result. Columns not named in the call are ignored.
+empty table gives an empty result. Columns not named in the call are ignored. In ``conversations`` a null turn comes before
+all others, and equal turns go by role and text.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def read_back(batches):
 
 def linear(conversations: DataFrame) -> DataFrame:
     """Conversations by (conv_id, turn) as reply trees of one branch: each turn answers the one before."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -156,9 +157,9 @@ with rows as (
   union all select -1, 0, 'user', '{POISON}' union all select -1, 1, 'assistant', '{POISON}'
 )
 select cast(conv_id as bigint) as conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(24 + length({_X.format("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + length({_X.format("text")})) as bigint) as formatted_chars
 from rows group by conv_id
 """
