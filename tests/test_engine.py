@@ -185,3 +185,17 @@ def test_plans(spark, sf):
     assert "StringStartsWith(o_orderpriority,1-)" in text and "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in text
     v = fx.shown(spark, sf).where("entity > 5")
     assert "CartesianProduct" not in v._jdf.queryExecution().toString()
+
+
+def test_tiles_make_short_plans(spark, sf):
+    """Codes worked out in a condition on many tiles don't swell the plan, and ranges taken together let in no other tile."""
+    from veilmap.queries import QUERIES
+
+    assert len(QUERIES["tiles_of_box"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    rows = made(spark, [(i, (i * 37 % 1000) / 10, (i * 91 % 1000) / 10, ["a"]) for i in range(800)]).withColumn("at", spatial.tile(F.col("code"), 4)).cache()
+    for tiles in ([], [0], [127, 128], list(range(0, 256, 7)), [3, 3, 200, 255], list(range(256))):
+        want = {(r["entity"], r["at"]) for r in rows.collect() if r["at"] in tiles}
+        assert {(r["entity"], r["tile"]) for r in viewport.in_tiles(rows, 4, tiles).collect()} == want
+    assert viewport.in_tiles(rows, 0, [0]).count() == 800
+    corners = spark.createDataFrame([(0, 0), (2**32 - 1, 2**32 - 1), (1, 2**31), (None, 1)], "qx bigint, qy bigint")
+    assert [r[0] for r in corners.select(spatial.morton(F.col("qx"), F.col("qy"))).collect()] == [0, -1, 1 - 2**63, None]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import spatial
 
 RANK_BITS = 60
+MOST_RANGES = 8
 
 
 @dataclass(frozen=True)
@@ -34,20 +35,20 @@ def tiles_frame(spark, tiles: list[int]) -> DataFrame:
 
 
 def in_tiles(items: DataFrame, depth: int, tiles: list[int]) -> DataFrame:
-    """Items of the named tiles, as (.., tile): code ranges first, which files in map order can prune, then the tile itself."""
-    key = spatial.unsigned_order(F.col("code"))
-    runs: list[list[int]] = []
-    for t in sorted(set(tiles)):
-        low, high = spatial.code_range(t, depth) if depth else (-(1 << 63), (1 << 63) - 1)
-        if runs and runs[-1][1] + 1 == low:
-            runs[-1][1] = high
-        else:
-            runs.append([low, high])
-    near = F.lit(False)
-    for low, high in runs[:64]:
-        near = near | key.between(low, high)
-    out = items.where(near) if len(runs) <= 64 else items
-    return out.withColumn("tile", spatial.tile(F.col("code"), depth)).where(F.col("tile").isin(*sorted(set(tiles))) if tiles else F.lit(False))
+    """Items of the named tiles, as (.., tile): by the tile itself, and by code ranges, which files in map order can prune.
+
+    Where tiles make more than MOST_RANGES ranges, those with the narrowest gaps are taken together: the condition on the tile
+    is exact, and a condition on the code, which may be an expression, is short whatever the request is.
+    """
+    size = 1 << 64 - 2 * depth
+    starts = sorted((t * size + (1 << 63)) % (1 << 64) - (1 << 63) for t in set(tiles))  # codes are signed
+    wide = sorted((i for i in range(1, len(starts)) if starts[i] > starts[i - 1] + size), key=lambda i: starts[i - 1] - starts[i])
+    cuts = [0, *sorted(wide[: MOST_RANGES - 1]), len(starts)]
+    near = F.col("code").isNotNull() if depth == 0 else F.lit(False)
+    for a, b in zip(cuts, cuts[1:]) if starts and depth else ():
+        near = near | F.col("code").between(starts[a], starts[b - 1] + size - 1)
+    tile = spatial.tile(F.col("code"), depth)
+    return items.where(tile.isin(*sorted(set(tiles))) if tiles else F.lit(False)).where(near).withColumn("tile", tile)
 
 
 def tile_counts(shown: DataFrame, depth: int, served: DataFrame | None = None) -> DataFrame:
