@@ -199,3 +199,17 @@ def test_tiles_make_short_plans(spark, sf):
     assert viewport.in_tiles(rows, 0, [0]).count() == 800
     corners = spark.createDataFrame([(0, 0), (2**32 - 1, 2**32 - 1), (1, 2**31), (None, 1)], "qx bigint, qy bigint")
     assert [r[0] for r in corners.select(spatial.morton(F.col("qx"), F.col("qy"))).collect()] == [0, -1, 1 - 2**63, None]
+
+
+def test_places_in_many_partitions(spark):
+    """Rows of one cell in several partitions come by rank, and offsets are those of the partitions that the rows are in."""
+    from veilmap.plans.durable import numbered
+
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("entity"), (F.col("id") * 7919 % n).alias("rank"), ((F.col("id") % 3 - 1) * (1 << 61) + (F.col("id") * 104729 % n)).alias("code"), F.repeat(F.lit("x"), 200).alias("text"))
+    got = numbered(spatial.map_order(rows), "place").select("place", "code", "rank", "text", F.spark_partition_id().alias("part")).collect()
+    assert len({r["part"] for r in got}) > 1
+    got.sort(key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1, n + 1))
+    order = [(r["code"] % (1 << 64) >> 32, r["rank"]) for r in got]
+    assert order == sorted(order)

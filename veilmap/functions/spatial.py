@@ -94,18 +94,6 @@ def tile(code: Column, depth: int) -> Column:
     return F.shiftrightunsigned(code, 64 - 2 * depth) if depth < 32 else code
 
 
-def unsigned_order(code: Column) -> Column:
-    """A long whose signed order is the unsigned order of code."""
-    return code.bitwiseXOR(F.lit(-(1 << 63)))
-
-
-def code_range(tile_id: int, depth: int) -> tuple[int, int]:
-    """First and last code of a tile, in unsigned_order."""
-    shift = 64 - 2 * depth
-    low = tile_id << shift
-    return low - (1 << 63), low + (1 << shift) - 1 - (1 << 63)
-
-
 def tiles_of_box(box: tuple[float, float, float, float], depth: int, frame: Frame) -> list[int]:
     """Tiles that a box (min x, min y, max x, max y) touches, row by row."""
     side = 32 - depth
@@ -205,5 +193,5 @@ def place(points: DataFrame, frame: Frame) -> DataFrame:
 
 def map_order(rows: DataFrame, rank: str = "rank") -> DataFrame:
     """Ranged and sorted by cell, then rank: files written from it prune by code."""
-    key = unsigned_order(F.col("code"))
-    return rows.repartitionByRange(key, F.col(rank)).sortWithinPartitions(key, rank)
+    cell = tile(F.col("code"), 16)
+    return rows.repartitionByRange(cell, F.col(rank)).sortWithinPartitions(cell, rank)

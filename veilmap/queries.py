@@ -91,14 +91,11 @@ def auto_frame(spark, d):
 
 @query(f"with {ORDERS_SQL} select entity, row_number() over (order by {tile_sql(16)}, rank) as place from items")
 def map_order(spark, d):
-    from pyspark.sql import Window
+    from .plans.durable import numbered
 
-    x = spatial.map_order(fx.orders(spark, d)).withColumn("cell", F.shiftrightunsigned("code", 32))
     # places by partition offsets, as a sorted file's row numbers would be
-    x = x.select("entity", "cell", "rank", F.spark_partition_id().alias("part"))
-    own = x.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("cell", "rank")))
-    base = x.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return own.join(base, "part").select("entity", (F.col("before") + F.col("n")).alias("place"))
+    x = spatial.map_order(fx.orders(spark, d).select("entity", "code", "rank"))
+    return numbered(x, "place").select("entity", "place")
 
 
 # --- access -------------------------------------------------------------------------------------------
