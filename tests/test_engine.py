@@ -201,15 +201,34 @@ def test_tiles_make_short_plans(spark, sf):
     assert [r[0] for r in corners.select(spatial.morton(F.col("qx"), F.col("qy"))).collect()] == [0, -1, 1 - 2**63, None]
 
 
-def test_places_in_many_partitions(spark):
+@pytest.fixture
+def narrow(spark):
+    """Adaptive plans join partitions by 64 KB, as they join larger ones of larger tables."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "40"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_places_in_many_partitions(spark, narrow):
     """Rows of one cell in several partitions come by rank, and offsets are those of the partitions that the rows are in."""
     from veilmap.plans.durable import numbered
 
     n = 20_000
-    rows = spark.range(n).select(F.col("id").alias("entity"), (F.col("id") * 7919 % n).alias("rank"), ((F.col("id") % 3 - 1) * (1 << 61) + (F.col("id") * 104729 % n)).alias("code"), F.repeat(F.lit("x"), 200).alias("text"))
-    got = numbered(spatial.map_order(rows), "place").select("place", "code", "rank", "text", F.spark_partition_id().alias("part")).collect()
+    rows = spark.range(n).select(F.col("id").alias("entity"), (F.col("id") * 7919 % n).alias("rank"), ((F.col("id") % 3 - 1) * (1 << 61) + (F.col("id") * 104729 % n)).alias("code"))
+    got = numbered(spatial.map_order(rows), "place").select("place", "code", "rank", F.spark_partition_id().alias("part")).collect()
     assert len({r["part"] for r in got}) > 1
     got.sort(key=lambda r: r["place"])
     assert [r["place"] for r in got] == list(range(1, n + 1))
     order = [(r["code"] % (1 << 64) >> 32, r["rank"]) for r in got]
     assert order == sorted(order)
+
+
+def test_numbers_of_wide_rows(spark, narrow):
+    """Rows whose partitions are joined otherwise than those of their counts."""
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("row"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    got = ingest.next_entities(rows, 100).collect()
+    assert len(got) == 20_000 and all(r["entity"] == r["row"] + 101 for r in got)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import access
-from ..plans.durable import settled
+from ..plans.durable import numbered, settled
 
 #: Why a row is refused, in the order in which reasons are given; a label that the writer does not hold comes before all.
 REASONS = ("label_not_held", "unknown_id", "names_two_items", "names_no_item", "value_held", "one_item_twice", "one_value_twice")
@@ -89,10 +89,7 @@ def next_entities(created: DataFrame, last: int) -> DataFrame:
 
     Numbers are given by partition offsets of a ranged sort, so no single task numbers the batch.
     """
-    x = created.repartitionByRange("row").sortWithinPartitions("row").withColumn("part_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = x.groupBy("part_").agg(F.max("at_").alias("m")).select("part_", (F.col("m") + 1).alias("n"))
-    base = sizes.select("part_", F.coalesce(F.sum("n").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    return x.join(base, "part_").withColumn("entity", F.col("before_") + F.col("at_") + F.lit(last + 1)).drop("part_", "at_", "before_")
+    return numbered(created.repartitionByRange("row").sortWithinPartitions("row"), "entity", last + 1)
 
 
 def apply_edits(items: DataFrame, edits: DataFrame, fields: list[str]) -> DataFrame:
