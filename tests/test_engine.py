@@ -232,3 +232,16 @@ def test_numbers_of_wide_rows(spark, narrow):
     rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("row"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
     got = ingest.next_entities(rows, 100).collect()
     assert len(got) == 20_000 and all(r["entity"] == r["row"] + 101 for r in got)
+
+
+def test_hulls_of_many_members(spark):
+    """Rings of an artifact with very many members reach as far as they do, and are those of all their places."""
+    from veilmap.functions import shapes
+    from veilmap.operators import layers
+
+    rows = spark.range(80_000).select(F.col("id").alias("entity"), F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("qx"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)).alias("qy")).cache()
+    got = layers.hulls(rows.select(F.lit("a").alias("artifact"), "entity"), rows).first()["rings"]
+    places = rows.select("qx", "qy").toPandas().to_numpy()
+    at = [p for ring in got for p in ring]
+    assert [f(p[i] for p in at) for i in (0, 1) for f in (min, max)] == [f(places[:, i].tolist()) for i in (0, 1) for f in (min, max)]
+    assert [[tuple(p) for p in ring] for ring in got] == shapes.concave_rings(places)
