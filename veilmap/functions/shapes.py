@@ -215,7 +215,7 @@ def simplify(ring: Sequence[tuple[int, int]], zoom: int | None = None, most: int
 
 def convex_hull(points: np.ndarray) -> list[tuple[int, int]]:
     """Counter-clockwise hull of grid points, in whole numbers."""
-    pts = sorted({(int(x), int(y)) for x, y in points})
+    pts = sorted({(int(x), int(y)) for x, y in (_outer(points) if len(points) > 4096 else points)})
     if len(pts) <= 2:
         return pts
 
@@ -231,6 +231,20 @@ def convex_hull(points: np.ndarray) -> list[tuple[int, int]]:
     return lower[:-1] + upper[:-1]
 
 
+def _outer(points: np.ndarray, directions: int = 32) -> np.ndarray:
+    """points without those that surely lie inside the polygon of the furthest points in some directions."""
+    flat = points.astype(np.float64)
+    turn = np.arange(directions) * (2 * math.pi / directions)
+    far = {int((flat @ np.array([math.cos(t), math.sin(t)])).argmax()) for t in turn}
+    ring = convex_hull(points[sorted(far)])
+    if len(ring) < 3:
+        return points
+    inside = np.ones(len(points), bool)
+    for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        inside &= (x2 - x1) * (flat[:, 1] - y1) - (y2 - y1) * (flat[:, 0] - x1) > _SURE
+    return points[~inside]
+
+
 def near_groups(points: np.ndarray, within: float) -> np.ndarray:
     """A group number per point, so that points at most ``within`` apart share one (some a little further apart do too).
 
@@ -263,30 +277,69 @@ def _turn(a, b, c) -> int:
 
 
 class _Ring:
-    """One group's boundary while it is dug: points by the point before them, and which points are not on it yet."""
+    """One group's boundary while it is dug: points by the point before them, and which points are not on it yet.
+
+    Points are listed by the squares of a grid, some tens in each, so that a search looks at those near its edge only.
+    """
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, full: int = 32):
         self.points = points
         hull = convex_hull(points)
         self.after = dict(zip(hull, [*hull[1:], hull[0]], strict=True))
-        on = np.array(sorted(hull), np.int64)
-        self.free = ~(points[:, None, :] == on[None]).all(axis=2).any(axis=1) if len(on) * len(points) < 1 << 24 else np.array([tuple(p) not in self.after for p in points.tolist()])
+        low, span = points.min(axis=0), np.ptp(points, axis=0).astype(np.float64) + 1
+        key = lambda p: (p[:, 0] - low[0]).astype(np.uint64) * np.uint64(span[1]) + (p[:, 1] - low[1]).astype(np.uint64)
+        self.free = ~np.isin(key(points), key(np.array(hull, np.int64)))
+        self.low, self.reach = low.astype(np.float64), float(np.hypot(*span))
+        self.side = max(math.sqrt(span[0] * span[1] * full / len(points)), float(span.max()) / 4096)
+        self.wide, self.high = (int(n) for n in span // self.side + 1)
+        square = self._square(points)
+        square = square[:, 0] * self.high + square[:, 1]
+        self.listed = np.argsort(square, kind="stable")
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(square, minlength=self.wide * self.high))])
+
+    def _square(self, p: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((p - self.low) / self.side).astype(np.int64), 0, [self.wide - 1, self.high - 1])
+
+    def _beside(self, a, d: np.ndarray, depth: float) -> np.ndarray:
+        """All points, and maybe more, that lie up to ``depth`` from an edge on its inner side, in order."""
+        n = math.ceil(np.hypot(*d) / depth)
+        inward = np.array([-d[1], d[0]]) / np.hypot(*d) * depth
+        ends = np.array(a, np.float64) + d * (np.arange(n + 1) / n)[:, None]
+        corners = np.stack([ends[:-1], ends[1:], ends[:-1] + inward, ends[1:] + inward])
+        low, top = self._square(corners.min(axis=0) - 2.0), self._square(corners.max(axis=0) + 2.0)
+        k = (top - low).max(axis=0) + 1
+        if n * int(k[0]) * int(k[1]) > self.wide * self.high:
+            return np.arange(len(self.points))
+        x, y = low[:, :1, None] + np.arange(k[0])[:, None], low[:, 1:, None] + np.arange(k[1])
+        fits = (x <= top[:, :1, None]) & (y <= top[:, 1:, None])
+        squares = np.unique((x * self.high + y)[fits])
+        start, size = self.first[squares], self.first[squares + 1] - self.first[squares]
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.sort(self.listed[at])
 
     def nearest(self, a, b):
         """The free point nearest to the edge on its inner side or on it, among those beside it."""
-        at = np.flatnonzero(self.free)
-        v = (self.points[at] - np.array(a)).astype(np.float64)
         d = np.array([b[0] - a[0], b[1] - a[1]], np.float64)
-        along, off = v @ d, d[0] * v[:, 1] - d[1] * v[:, 0]
-        fine = (along > 0) & (along < d @ d) & (off > -1e-9 * (d @ d))
-        at, off = at[fine], off[fine]
-        while len(at):
-            k = int(off.argmin())
-            c = tuple(int(x) for x in self.points[at[k]])
-            if _turn(a, b, c) >= 0:
-                return at[k], c
-            at, off = np.delete(at, k), np.delete(off, k)
-        return None
+        depth = self.side
+        while True:
+            every = depth >= self.reach
+            at = np.arange(len(self.points)) if every else self._beside(a, d, depth)
+            at = at[self.free[at]]
+            v = (self.points[at] - np.array(a)).astype(np.float64)
+            along, off = v @ d, d[0] * v[:, 1] - d[1] * v[:, 0]
+            fine = (along > 0) & (along < d @ d) & (off > -1e-9 * (d @ d))
+            if not every:
+                fine &= off <= depth * np.hypot(*d)
+            at, off = at[fine], off[fine]
+            while len(at):
+                k = int(off.argmin())
+                c = tuple(int(x) for x in self.points[at[k]])
+                if _turn(a, b, c) >= 0:
+                    return at[k], c
+                at, off = np.delete(at, k), np.delete(off, k)
+            if every:
+                return None
+            depth *= 2
 
     def crossed(self, a, b) -> bool:
         """Whether a segment would meet the boundary anywhere but at its own ends."""
@@ -312,7 +365,9 @@ def concave_rings(points: np.ndarray, budget: int = 2048, reach: float = 2.0) ->
     longest is bent to the nearest inner point beside it, while rings stay simple and the budget lasts. Nothing lies in the triangle that
     such a bend cuts away, so every point stays inside or on its ring.
     """
-    pts = np.unique(points.astype(np.int64), axis=0)
+    pts = points.astype(np.int64)
+    pts = pts[np.lexsort((pts[:, 1], pts[:, 0]))]
+    pts = pts[np.concatenate([[True], (np.diff(pts, axis=0) != 0).any(axis=1)])] if len(pts) else pts
     if len(pts) < 3:
         return [[tuple(p) for p in pts.tolist()]] if len(pts) else []
     area = max(1.0, float(np.ptp(pts[:, 0])) * float(np.ptp(pts[:, 1])))
