@@ -245,3 +245,23 @@ def test_hulls_of_many_members(spark):
     at = [p for ring in got for p in ring]
     assert [f(p[i] for p in at) for i in (0, 1) for f in (min, max)] == [f(places[:, i].tolist()) for i in (0, 1) for f in (min, max)]
     assert [[tuple(p) for p in ring] for ring in got] == shapes.concave_rings(places)
+
+
+def test_attachments_work_out_their_targets_once(spark):
+    """Chains are followed to their length, past cycles, and the served targets are read in one pass."""
+    from veilmap.operators import layers
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    ok = spark.range(5).selectExpr("concat('a', id) artifact").mapInArrow(seen, "artifact string")
+    chain = [("c0", "a1"), *((f"c{i}", f"c{i - 1}") for i in range(1, 6)), ("d", "gone"), ("e", "f"), ("f", "e"), ("g", "a2"), ("g", "c1")]
+    labels = spark.createDataFrame(chain, "artifact string, target string")
+    got = layers.attached(labels, ok)
+    assert sorted(r["artifact"] for r in got.collect()) == ["c0", "c1", "c2", "c3", "c4", "c5", "g"]
+    assert reads.value <= 10  # a checkpoint counts its rows, then writes them
+    assert {r["artifact"] for r in layers.attached(labels, ok, 3).collect()} == {"c0", "c1", "c2", "g"}

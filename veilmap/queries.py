@@ -542,8 +542,10 @@ select artifact from l where replace(target, 'L', '') in (select artifact from o
 def attachments(spark, d):
     a, m, x = _layer(spark, d)
     ok = layers.served(a, m, x, VIEWER, "count", 5)
-    top = a.where("level < 2")
-    labels = top.select(F.concat(F.lit("L"), "artifact").alias("artifact"), F.col("artifact").alias("target")).unionByName(top.select(F.concat(F.lit("M"), "artifact").alias("artifact"), F.concat(F.lit("L"), "artifact").alias("target")))
+    top = a.where("level < 2").select("artifact").distinct()  # distinct, so that sizes aren't worked out for it
+    pair = lambda name, target: F.struct(name.alias("artifact"), target.alias("target"))
+    own, first, second = F.col("artifact"), F.concat(F.lit("L"), "artifact"), F.concat(F.lit("M"), "artifact")
+    labels = top.select(F.inline(F.array(pair(first, own), pair(second, first))))
     return layers.attached(labels, ok).select("artifact")
 
 
